@@ -1,0 +1,55 @@
+"""Handing a small table to the tasks that scan a large one, in blocks of bounded size.
+
+The similarity and constraint joins have no equality key: every question has to meet every chunk. The chunk side is
+never moved; a block of questions travels to each task, the task keeps only its best rows per question, and the
+blocks' size is checked before anything is collected. A question table over the bound is split into more blocks,
+scanned one after the other with results written to shared storage, so neither driver nor task ever holds it whole.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import scratch_path
+
+BLOCK_BYTES = 64 * 1024 * 1024
+
+
+def blocks_of(table: DataFrame, key: str, rows_per_block: int) -> Iterator[pa.Table]:
+    """Arrow tables of at most ``rows_per_block`` rows that together hold the whole table; ``key`` must be unique.
+
+    Rows are dealt by the hash of the key; a share that turns out too large is split again.
+    """
+    total = table.count()
+    shares = max(1, -(-total // rows_per_block))
+    pending = [(share, shares) for share in range(shares)]
+    while pending:
+        share, of = pending.pop()
+        part = table if of == 1 else table.where(F.pmod(F.xxhash64(key), F.lit(of)) == share)
+        rows = part.limit(rows_per_block + 1).toArrow()
+        if rows.num_rows <= rows_per_block:
+            yield rows
+        elif of > 64 * total:
+            raise ValueError(f"{key} must be unique")
+        else:
+            pending += [(share, 2 * of), (share + of, 2 * of)]
+
+
+def scan_by_block(blocks: Iterator[pa.Table], scan: Callable[[pa.Table], DataFrame], like: str, name: str) -> DataFrame:
+    """Union of ``scan(block)``; a single block stays lazy, several are run in turn and written to shared storage."""
+    first = next(blocks)
+    second = next(blocks, None)
+    result = scan(first)
+    if second is None:
+        return result
+    spark = result.sparkSession
+    path = scratch_path(spark, name)
+    result.write.mode("append").parquet(path)
+    scan(second).write.mode("append").parquet(path)
+    for block in blocks:
+        scan(block).write.mode("append").parquet(path)
+    return spark.read.schema(like).parquet(path)
