@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bind
+
 # Time of day and offset that may follow an ISO-8601 date after any one separator character.
 _SECONDS = r"[0-5][0-9](?:[.,][0-9]+)?"
 _CLOCK = (
@@ -42,13 +44,7 @@ def _ordinal_date(year: Column, day: Column) -> Column:
     return F.when((day.try_cast("int") >= 1) & (F.year(date) == F.year(first)), date)
 
 
-def iso_date(c) -> Column:
-    """Calendar date as written in an ISO-8601 text, offset ignored; NULL when the text is not valid.
-
-    Calendar (extended, basic, year or year-month only), week and ordinal dates are read, with an optional time.
-    The text is never cast through a timestamp: ``2026-08-01T00:30:00+02:00`` is 1 August, not 31 July in UTC.
-    """
-
+def _parse_iso(c: Column) -> Column:
     def group(pattern, n):
         return F.regexp_extract(c, pattern, n)
 
@@ -66,6 +62,15 @@ def iso_date(c) -> Column:
     )
 
 
+def iso_date(c) -> Column:
+    """Calendar date as written in an ISO-8601 text, offset ignored; NULL when the text is not valid.
+
+    Calendar (extended, basic, year or year-month only), week and ordinal dates are read, with an optional time.
+    The text is never cast through a timestamp: ``2026-08-01T00:30:00+02:00`` is 1 August, not 31 July in UTC.
+    """
+    return bind(c, _parse_iso)
+
+
 def long_date(c) -> Column:
     """``Thursday 23 July 2026``."""
     return F.date_format(c, "EEEE dd MMMM yyyy")

@@ -14,16 +14,20 @@ EVENT_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in EVE
 
 
 def read_event_pages(
-    spark: SparkSession, path: str, schema: T.StructType = EVENT_SCHEMA, page_size: int = PAGE_SIZE
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType = EVENT_SCHEMA,
+    page_size: int = PAGE_SIZE,
+    page_pattern: str = r"(\d+)[^\d]*$",
 ) -> DataFrame:
     """Records of all pages, one JSON object with a ``results`` array per file.
 
-    Pages are numbered by the last number in their path. Reading ends with the first page that has fewer than
+    The first group of ``page_pattern`` in a file's path is its page number: by default the last number. Reading ends with the first page that has fewer than
     ``page_size`` records, as it does when the pages are fetched one after the other.
     """
     wrapper = T.StructType([T.StructField("results", T.ArrayType(schema))])
     pages = spark.read.schema(wrapper).option("multiLine", True).json(path)
-    number = F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)[^\d]*$", 1).try_cast("bigint")
+    number = F.regexp_extract(F.col("_metadata.file_path"), page_pattern, 1).try_cast("bigint")
     numbered = pages.select(number.alias("page"), "results")
     size = F.coalesce(F.size("results"), F.lit(0))
     last = numbered.where(size < page_size).agg(F.min("page"))

@@ -12,8 +12,16 @@ from .pages import EVENT_SCHEMA
 
 CLEAN_SCHEMA = T.StructType([*EVENT_SCHEMA.fields, T.StructField("text_to_embed", T.StringType())])
 
-# Quotes are doubled inside quoted values, and values may span lines.
-_CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
+# Quotes are doubled inside quoted values, values may span lines, and blanks around values are kept.
+_CSV = {
+    "header": True,
+    "multiLine": True,
+    "quote": '"',
+    "escape": '"',
+    "encoding": "UTF-8",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def read_clean_csv(spark: SparkSession, path: str, schema: T.StructType = CLEAN_SCHEMA) -> DataFrame:
