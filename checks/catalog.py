@@ -44,7 +44,9 @@ def _documents(spark, sf_dir):
 
 
 def _index(spark, sf_dir):
-    return plans.index_documents(_documents(spark, sf_dir), topics=TOPICS)
+    # Each given table is one row group, which Spark reads in one task; larger tables need no dealing out.
+    cores = spark.sparkContext.defaultParallelism
+    return plans.index_documents(_documents(spark, sf_dir), topics=TOPICS, partitions=cores)
 
 
 # --- Sources and sinks ----------------------------------------------------------------------------------------------
@@ -98,8 +100,7 @@ def csv_round_trip(spark, sf_dir):
 )
 def rebuild_index(spark, sf_dir):
     path = scratch_path(spark, "index")
-    chunks = plans.index_documents(_documents(spark, sf_dir), topics=TOPICS)
-    return sources.write_index(chunks, path).select("nb_documents", "nb_chunks")
+    return sources.write_index(_index(spark, sf_dir), path).select("nb_documents", "nb_chunks")
 
 
 @query(
@@ -188,7 +189,8 @@ def match_topics(spark, sf_dir):
     from (select k, v, unnest(range(1, 65)) as s from documents_vec) where v[s] <> 0"""
 )
 def hash_vector(spark, sf_dir):
-    vectors = op.embed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vectors = op.embed(documents.repartition(spark.sparkContext.defaultParallelism))
     slots = vectors.select("doc_id", F.posexplode(F.coalesce("embedding", F.array())).alias("slot", "weight")).where(F.col("weight") != 0)
     return slots.select(
         "doc_id", F.col("slot").cast("bigint").alias("slot"), F.round(F.col("weight").cast("double"), 6).alias("weight")

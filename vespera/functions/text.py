@@ -14,6 +14,9 @@ from .fixed_values import (
     WHITESPACE,
 )
 
+# The white space above as the inside of a regular-expression class.
+_SPACE = "".join(f"\\x{{{ord(ch):x}}}" for ch in WHITESPACE)
+
 
 def strip(c) -> Column:
     """Trim Unicode white space at both ends (Spark's plain ``trim`` removes spaces only)."""
@@ -25,10 +28,14 @@ def blank_to_null(c) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
+def is_missing(c) -> Column:
+    """True for the spellings of "no value": only white space, or ``nan`` in any case. Reads just the start of a text."""
+    return F.rlike(c, F.lit(rf"^[{_SPACE}]*(?:[nN][aA][nN])?[{_SPACE}]*$"))
+
+
 def missing_to_null(c) -> Column:
-    """Trimmed text with the spellings of "no value" (blank, ``nan`` in any case) turned into NULL."""
-    text = strip(c)
-    return F.when((text != "") & (F.lower(text) != "nan"), text)
+    """Trimmed text; NULL when it is missing."""
+    return F.when(~is_missing(c), strip(c))
 
 
 def contains_any(text: Column, words) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import EVENT_COLUMNS, METADATA_NAMES
-from ..functions.text import event_text, missing_to_null, strip_basic_html
+from ..functions.text import event_text, is_missing, missing_to_null, strip, strip_basic_html
 
 # Input order as one number: 20 bits of partition, 23 bits of row, leaving 20 bits for the chunk (see chunk.py).
 _ROW_BITS = 23
@@ -58,7 +58,7 @@ def strip_html(events: DataFrame, column: str = "text_to_embed") -> DataFrame:
 
 def usable_text(rows: DataFrame, column: str = "text_to_embed") -> DataFrame:
     """Trim the text; drop rows where nothing, or only ``nan``, is left."""
-    return rows.withColumn(column, missing_to_null(F.col(column))).where(F.col(column).isNotNull())
+    return rows.where(~is_missing(F.col(column))).withColumn(column, strip(F.col(column)))
 
 
 def file_ordinal() -> Column:

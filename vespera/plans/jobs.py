@@ -48,13 +48,17 @@ def index_documents(
     embedder: Embedder | None = None,
     dim: int = HASH_DIM,
     max_chunks: int | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Chunks of ``documents(doc_ord, text, metadata…)`` with ids, filter columns, topics and vectors.
 
-    Filter columns are worked out once per document, before it is cut. No shuffle, unless ``max_chunks`` asks for a
-    trial index of the first chunks only.
+    Filter columns are worked out once per document, before it is cut. There is no shuffle, with two exceptions on
+    request: ``max_chunks`` makes a trial index of the first chunks only, and ``partitions`` deals the chunks out
+    evenly before the costly vector step, for input in a few large or very uneven files.
     """
     chunks = with_chunk_id(chunk_text(with_facets(documents), size, overlap))
+    if partitions is not None:
+        chunks = chunks.repartition(partitions)
     if max_chunks is not None:
         chunks = chunks.orderBy("chunk_id").limit(max_chunks)
     searched = chunks.withColumn("_searched", searchable_text(F.col("text"), F.col("title")))
