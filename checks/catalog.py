@@ -422,6 +422,19 @@ def faithfulness(spark, sf_dir):
     return op.faithfulness(context_verdicts(spark, sf_dir)).withColumn("faithfulness", F.round("faithfulness", 9))
 
 
+@query(
+    f"""{_HITS}, kept as (select qid, text, row_number() over (partition by qid order by rank) as rank from hits),
+    given as (select cast(substr(source, 4) as bigint) as qid, row_number() over (partition by source order by doc_id) as rank,
+      quality from labels join documents using (doc_id))
+    select qid, rank::int as rank, text as context, quality as relevant from kept join given using (qid, rank)"""
+)
+def judged_contexts(spark, sf_dir):
+    """The three contexts of one question per source beside the first three verdicts of that source."""
+    verdicts = context_verdicts(spark, sf_dir)
+    ranked = op.first_events(verdicts.withColumnRenamed("rank", "doc_id"), 3, "doc_id")
+    return op.judged_contexts(op.retrieved_contexts(_hits(spark, sf_dir)), ranked)
+
+
 _JUDGED = """judged as (select doc_id as qid,
     case when lang = 'de' then null when lang = 'es' then null else n_chars % 101 / 100.0 end::double as faithfulness,
     case when toxic = 1 then null else (n_chars % 7)::double / 7 end as context_precision, quality = 0 as no_context,

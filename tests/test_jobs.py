@@ -112,7 +112,7 @@ def test_streams(spark, tmp_path):
 
     def put(name, events):
         keys = RAW.replace(" string", "").split(", ")
-        records = [dict(zip(keys, (e[0], e[0], e[5], *e[1:5]))) for e in events]
+        records = [{**dict(zip(keys, (e[0], e[0], e[5], *e[1:5]))), "longdescription_fr": e[5]} for e in events]
         (tmp_path / "pages" / name).write_text(json.dumps({"results": records}))
 
     put("1.json", EVENTS)

@@ -14,7 +14,7 @@ from .constraints import apply_constraints, dedup_first, first_events, first_mat
 from .context import answer_rows, context_text, project_sources, retrieved_contexts
 from .embed import embed
 from .knn import knn, top_k
-from .metrics import class_summary, context_precision, faithfulness, metric_means, running_totals
+from .metrics import class_summary, context_precision, faithfulness, judged_contexts, metric_means, running_totals
 from .profile import events_by_month, top_arrondissements, top_groups
 from .questions import parse_questions, validate_questions
 
@@ -33,6 +33,7 @@ __all__ = [
     "faithfulness",
     "first_events",
     "first_matches",
+    "judged_contexts",
     "knn",
     "metric_means",
     "parse_questions",

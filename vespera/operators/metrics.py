@@ -32,6 +32,16 @@ def running_totals(rows: DataFrame, key: str, order: str, totals: dict[str, Colu
     return joined.select(*rows.columns, *[(F.col(f"_before_{n}") + F.col(f"_in_{n}")).alias(n) for n in totals])
 
 
+def judged_contexts(samples: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``qid, rank, context, relevant``: each retrieved context of ``samples(qid, contexts)`` beside its verdict.
+
+    Ranks count from 1. Contexts and verdicts without a partner are left out.
+    """
+    ranked = samples.select("qid", F.posexplode("contexts").alias("pos", "context"))
+    ranked = ranked.select("qid", (F.col("pos") + 1).alias("rank"), "context")
+    return ranked.join(verdicts.select("qid", "rank", "relevant"), ["qid", "rank"])
+
+
 def context_precision(verdicts: DataFrame) -> DataFrame:
     """``qid, context_precision`` from ``verdicts(qid, rank, relevant 0/1)``.
 

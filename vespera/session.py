@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    # Spark checks the size of the materialized tables against this before it broadcasts one.
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
 }
 
 
