@@ -583,5 +583,7 @@ def stream_refresh(spark, sf_dir):
     sources.write_index(plans.index_documents(old, topics=TOPICS), index)
     _write_pages(spark, sf_dir, inbox)
     events = op.prune_columns(stream_event_pages(spark, f"{inbox}/*")).drop("longdescription_fr")
-    stream_index(events, index, scratch_path(spark, "checkpoint"), topics=TOPICS).awaitTermination()
+    cores = spark.sparkContext.defaultParallelism
+    refresh = stream_index(events, index, scratch_path(spark, "checkpoint"), topics=TOPICS, partitions=cores)
+    refresh.awaitTermination()
     return sources.read_index(spark, index).select("uid", "title", "date_start", "chunk_pos", "text")

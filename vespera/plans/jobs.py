@@ -58,7 +58,7 @@ def index_documents(
     """
     chunks = with_chunk_id(chunk_text(with_facets(documents), size, overlap))
     if partitions is not None:
-        chunks = chunks.repartition(partitions)
+        chunks = chunks.repartition(partitions).sortWithinPartitions("chunk_id")
     if max_chunks is not None:
         chunks = chunks.orderBy("chunk_id").limit(max_chunks)
     searched = chunks.withColumn("_searched", searchable_text(F.col("text"), F.col("title")))
