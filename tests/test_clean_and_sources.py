@@ -59,6 +59,7 @@ def test_pages_stop_at_first_short_page(spark, tmp_path):
     rows = sources.read_event_pages(spark, str(tmp_path), page_size=2).collect()
     assert sorted(r.uid for r in rows) == ["1-0", "1-1", "2-0", "2-1", "3-0"]
     assert len(sources.read_event_pages(spark, f"{tmp_path}/page-1.json", page_size=2).collect()) == 2
+    assert len(sources.read_event_pages(spark, str(tmp_path), page_size=None).collect()) == 7
 
 
 def test_csv_with_byte_order_mark(spark, tmp_path):

@@ -1,4 +1,6 @@
+import contextlib
 import datetime as dt
+import io
 import json
 
 import pytest
@@ -99,6 +101,9 @@ def test_refresh_replaces_events_once(spark, tmp_path):
         rows = sources.read_index(spark, path).collect()
         assert len(rows) == 7 and len({r.chunk_id for r in rows}) == 7
         assert [r.text for r in rows if r.title == "Concert de jazz"][0].endswith("Nouveau texte")
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        sources.read_index(spark, path).explain()
+    assert "BroadcastHashJoin" in plan.getvalue() and "Exchange hash" not in plan.getvalue()  # the index is not moved
     refresh_batch(raw(spark, [(*EVENTS[1][:5], "Encore")]), path, 8)
     rows = sources.read_index(spark, path).collect()
     assert len(rows) == 7 and [r.text for r in rows if r.title == "Concert de jazz"][0].endswith("Encore")

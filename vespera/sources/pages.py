@@ -17,16 +17,19 @@ def read_event_pages(
     spark: SparkSession,
     path: str,
     schema: T.StructType = EVENT_SCHEMA,
-    page_size: int = PAGE_SIZE,
+    page_size: int | None = PAGE_SIZE,
     page_pattern: str = r"(\d+)[^\d]*$",
 ) -> DataFrame:
     """Records of all pages, one JSON object with a ``results`` array per file.
 
     The first group of ``page_pattern`` in a file's path is its page number: by default the last number. Reading ends with the first page that has fewer than
-    ``page_size`` records, as it does when the pages are fetched one after the other.
+    ``page_size`` records, as it does when the pages are fetched one after the other. Finding that page costs a second
+    pass over the files; ``page_size=None`` takes all stored pages in one pass.
     """
     wrapper = T.StructType([T.StructField("results", T.ArrayType(schema))])
     pages = spark.read.schema(wrapper).option("multiLine", True).json(path)
+    if page_size is None:
+        return pages.select(F.inline("results"))
     number = F.regexp_extract(F.col("_metadata.file_path"), page_pattern, 1).try_cast("bigint")
     numbered = pages.select(number.alias("page"), "results")
     size = F.coalesce(F.size("results"), F.lit(0))
