@@ -103,3 +103,15 @@ def test_postal_codes_and_profile(spark):
     assert profile.top_arrondissements(df.drop("location_postalcode")) is None
     dates = spark.createDataFrame([("2026-07-24T17:30:00+00:00",), ("bad",), (None,), ("2026-07-01",)], "firstdate_begin string")
     assert profile.events_by_month(dates).collect() == [("2026-07", 2)]
+
+
+@pytest.mark.parametrize("suffix,fmt", [("clean.parquet", "parquet"), ("clean.csv", "csv")])
+def test_written_events_load_again(spark, tmp_path, suffix, fmt):
+    columns = [f.name for f in sources.CLEAN_SCHEMA.fields]
+    row = tuple(f"{c}: «é»,\n \"x\" " for c in columns)
+    events = spark.createDataFrame([row], sources.CLEAN_SCHEMA)
+    sources.write_events(events, f"{tmp_path}/{suffix}", fmt)
+    assert plans.load_clean_events(spark, f"{tmp_path}/{suffix}").collect() == [row]
+    sources.write_events(events.limit(0), f"{tmp_path}/{suffix}", fmt)
+    with pytest.raises(ValueError, match="empty"):
+        plans.load_clean_events(spark, f"{tmp_path}/{suffix}")
