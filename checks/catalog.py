@@ -504,7 +504,7 @@ def evaluate(spark, sf_dir):
     order by item_id limit 5"""
 )
 def evaluation_samples(spark, sf_dir):
-    """The first five rows of the annotated set, as the reference evaluates them."""
+    """The first five rows of the annotated set: the default sample of an evaluation."""
     items = table(spark, sf_dir, "benchmark")
     test_set = items.select(F.col("item_id").alias("qid"), F.col("text").alias("question"), F.col("text").alias("reference"))
     answers = items.select(F.col("item_id").alias("qid"), F.lit("-").alias("answer"), F.array("text").alias("contexts"))
