@@ -98,8 +98,8 @@ SQL: dict[str, str] = {
         with recursive v as (
             select vec_id, label, embedding::double[] e from embeddings
             where label is not null and embedding is not null
-              and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-              and len(list_filter(embedding, x -> x <> 0)) > 0),
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+              and len(list_filter(embedding, lambda x: x <> 0)) > 0),
         link as (
             select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
             where list_cosine_similarity(a.e, b.e) >= 0.98),
