@@ -84,14 +84,13 @@ def clean_events(spark, sf_dir):
 
 @query(
     f"""with {o.EVENTS}, {o.CLEAN} select uid, title_fr, description_fr, location_city, location_department,
-    location_postalcode, firstdate_begin, nullif(lastdate_end, '') as lastdate_end, text_to_embed from clean"""
+    location_postalcode, firstdate_begin, lastdate_end, text_to_embed from clean"""
 )
 def csv_round_trip(spark, sf_dir):
     clean = plans.clean_events(raw_events(spark, sf_dir))
     path = scratch_path(spark, "events-csv")
     sources.write_events(clean, path, "csv")
-    back = sources.read_clean_csv(spark, path, clean.schema)
-    return back.withColumn("lastdate_end", F.nullif("lastdate_end", F.lit("")))
+    return sources.read_clean_csv(spark, path, clean.schema)
 
 
 @query(
@@ -114,16 +113,6 @@ def index_round_trip(spark, sf_dir):
     return stored.drop("doc_ord", "embedding", "event_key")
 
 
-@query(
-    f"with recursive {o.INDEX} select chunk_id, text from indexed order by chunk_id limit 300"
-)
-def trial_index(spark, sf_dir):
-    return plans.index_documents(_documents(spark, sf_dir), topics=TOPICS, max_chunks=300).select("chunk_id", "text")
-
-
-# --- Cleaning and projections ---------------------------------------------------------------------------------------
-
-
 @query("select page_id, replace(replace(replace(html, '<p>', ''), '</p>', ''), '<br>', chr(10)) as html from pages")
 def strip_html(spark, sf_dir):
     return op.strip_html(table(spark, sf_dir, "pages").select("page_id", "html"), "html")
@@ -426,7 +415,7 @@ def faithfulness(spark, sf_dir):
     f"""{_HITS}, kept as (select qid, text, row_number() over (partition by qid order by rank) as rank from hits),
     given as (select cast(substr(source, 4) as bigint) as qid, row_number() over (partition by source order by doc_id) as rank,
       quality from labels join documents using (doc_id))
-    select qid, rank::int as rank, text as context, quality as relevant from kept join given using (qid, rank)"""
+    select qid, rank::int as rank, text as context, quality as relevant from kept left join given using (qid, rank)"""
 )
 def judged_contexts(spark, sf_dir):
     """The three contexts of one question per source beside the first three verdicts of that source."""
@@ -465,8 +454,7 @@ def class_summary(spark, sf_dir):
 
 @query(
     f"""with {_JUDGED} select 'context_precision' as metric, round(avg(context_precision), 9) as mean from judged
-    union all select 'faithfulness', round(avg(faithfulness), 9) from judged
-    union all select 'qid', round(avg(qid::double), 9) from judged"""
+    union all select 'faithfulness', round(avg(faithfulness), 9) from judged"""
 )
 def metric_means(spark, sf_dir):
     scores = judged(spark, sf_dir).withColumn("faithfulness", F.col("faithfulness").try_cast("double"))
@@ -478,7 +466,7 @@ def metric_means(spark, sf_dir):
     round(context_precision, 9) as context_precision, case
       when faithfulness >= 0.8 and context_precision >= 0.3 then 'correcte'
       when faithfulness >= 0.5 then 'partiellement correcte' else 'incorrecte' end as classification
-    from (select item_id as qid, {o.strip('text')} as reference from benchmark) join faith_by using (qid) join precision_by using (qid)"""
+    from (select item_id as qid, {o.strip('text')} as reference from benchmark) left join faith_by using (qid) left join precision_by using (qid)"""
 )
 def evaluate(spark, sf_dir):
     """Benchmark items as the annotated set, source groups as its answers."""
@@ -532,14 +520,13 @@ def events_by_month(spark, sf_dir):
 
 
 @query(
-    f"""with {o.EVENTS} select strftime(try_cast(firstdate_begin as timestamptz) at time zone 'UTC', '%Y-%m') as month_year,
-    count(*) as count from raw_events where regexp_matches(firstdate_begin, '^....-..-..T')
-    and try_cast(firstdate_begin as timestamptz) is not null group by 1"""
+    f"""with {o.EVENTS}, written as (select try_strptime(case when regexp_full_match(firstdate_begin, '[0-9]{{8}}')
+      then firstdate_begin else replace(left(firstdate_begin, 10), '-', '') end, '%Y%m%d') as day from raw_events)
+    select strftime(day, '%Y-%m') as month_year, count(*) as count from written where day is not null group by 1"""
 )
 def events_by_month_text(spark, sf_dir):
-    """Dates as text, some of them blank or impossible."""
-    events = raw_events(spark, sf_dir).where(F.rlike("firstdate_begin", F.lit("^....-..-..T")))
-    return op.events_by_month(events)
+    """Dates as text: with a time, basic, blank or impossible ones."""
+    return op.events_by_month(raw_events(spark, sf_dir))
 
 
 @query("select user_id, count(*) as count from events group by 1 order by count desc, user_id limit 10")

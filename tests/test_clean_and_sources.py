@@ -1,6 +1,7 @@
 import contextlib
 import io
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,14 +53,34 @@ def test_documents_keep_order_and_rename(spark):
     assert [(r.doc_ord, r.text, r.uid, r.title, r.city) for r in rows] == [(0, "x", "u", "T", None)]
 
 
-def test_pages_stop_at_first_short_page(spark, tmp_path):
+def test_all_pages_are_read_or_reading_fails(spark, tmp_path):
     for page, size in ((1, 2), (2, 2), (3, 1), (10, 2)):
         records = [{"uid": f"{page}-{i}", "title_fr": "é\n", "other": 1} for i in range(size)]
         (tmp_path / f"page-{page}.json").write_text(json.dumps({"total_count": 9, "results": records}, indent=1))
-    rows = sources.read_event_pages(spark, str(tmp_path), page_size=2).collect()
-    assert sorted(r.uid for r in rows) == ["1-0", "1-1", "2-0", "2-1", "3-0"]
-    assert len(sources.read_event_pages(spark, f"{tmp_path}/page-1.json", page_size=2).collect()) == 2
-    assert len(sources.read_event_pages(spark, str(tmp_path), page_size=None).collect()) == 7
+    assert len(sources.read_event_pages(spark, str(tmp_path)).collect()) == 7
+    with pytest.raises(ValueError, match="page 3 is short"):
+        sources.read_event_pages(spark, str(tmp_path), page_size=2)
+    (tmp_path / "page-10.json").write_text('{"results": []}')
+    assert len(sources.read_event_pages(spark, str(tmp_path), page_size=2).collect()) == 5
+    named = tmp_path / "named"
+    named.mkdir()
+    (named / "extra.json").write_text('{"results": [{"uid": "x"}]}')
+    assert [r.uid for r in sources.read_event_pages(spark, str(named)).collect()] == ["x"]
+    with pytest.raises(ValueError, match="1 pages without number"):
+        sources.read_event_pages(spark, str(named), page_size=2, page_pattern=r"-(\d+)\.json$")
+
+
+def test_csv_is_read_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('title_fr,extra,uid\n"",z,1\n,z,2\n')
+    rows = sources.read_clean_csv(spark, str(tmp_path / "a.csv"), "uid int, description_fr string, title_fr string").collect()
+    assert [tuple(r) for r in rows] == [(1, None, ""), (2, None, None)]
+
+
+def test_long_blank_text_is_cleaned_quickly(spark):
+    df = spark.createDataFrame([(" " * 1_000_000 + "x",), (" \n" * 500_000,)], "t string")
+    start = time.perf_counter()
+    assert [r.m for r in df.select(missing_to_null(F.col("t")).alias("m")).collect()] == ["x", None]
+    assert time.perf_counter() - start < 10
 
 
 def test_csv_with_byte_order_mark(spark, tmp_path):

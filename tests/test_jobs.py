@@ -68,9 +68,8 @@ def test_fallback_only_without_any_hit(spark):
     assert len(first.sources) in (1, 3)
 
 
-def test_trial_index_and_empty_build(spark, tmp_path):
+def test_empty_build(spark, tmp_path):
     clean = plans.clean_events(raw(spark))
-    assert plans.build_index(clean, max_chunks=2).count() == 2
     path = f"{tmp_path}/index"
     plans.rebuild_index(clean, path)
     with pytest.raises(ValueError, match="no chunks"):
@@ -97,14 +96,14 @@ def test_refresh_replaces_events_once(spark, tmp_path):
     plans.rebuild_index(plans.clean_events(raw(spark)), path)
     changed = raw(spark, [(*EVENTS[1][:5], "Nouveau texte"), ("Ajout", "Paris", "Paris", "2026-08-03", "2026-08-03", "neuf")])
     for _ in range(2):  # the second run of the batch changes nothing
-        refresh_batch(changed, path, 7)
+        refresh_batch(changed, path, "s/7")
         rows = sources.read_index(spark, path).collect()
         assert len(rows) == 7 and len({r.chunk_id for r in rows}) == 7
         assert [r.text for r in rows if r.title == "Concert de jazz"][0].endswith("Nouveau texte")
     with contextlib.redirect_stdout(io.StringIO()) as plan:
         sources.read_index(spark, path).explain()
     assert "BroadcastHashJoin" in plan.getvalue() and "Exchange hash" not in plan.getvalue()  # the index is not moved
-    refresh_batch(raw(spark, [(*EVENTS[1][:5], "Encore")]), path, 8)
+    refresh_batch(raw(spark, [(*EVENTS[1][:5], "Encore")]), path, "s/8")
     rows = sources.read_index(spark, path).collect()
     assert len(rows) == 7 and [r.text for r in rows if r.title == "Concert de jazz"][0].endswith("Encore")
     plans.rebuild_index(plans.clean_events(raw(spark)), path)
@@ -131,6 +130,17 @@ def test_streams(spark, tmp_path):
     questions(spark, [*QUESTIONS, " \n "]).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("qid long, question string, as_of date").parquet(f"{tmp_path}/in")
     stream_answers(stream, path, out, f"{tmp_path}/c2").awaitTermination()
+    questions(spark, QUESTIONS[:1]).withColumn("qid", F.lit(90).cast("long")).write.parquet(f"{tmp_path}/in2")
+    again = spark.readStream.schema("qid long, question string, as_of date").parquet(f"{tmp_path}/in2")
+    stream_answers(again, path, out, f"{tmp_path}/c4").awaitTermination()  # another stream starts with batch 0 again
+    (tmp_path / "other").mkdir()
+    (tmp_path / "pages" / "2.json").rename(tmp_path / "other" / "1.json")
+    put("9.json", [("Ailleurs", "Lyon", "Rhône", "2026-09-01", "2026-09-01", "autre flux")])
+    (tmp_path / "pages" / "9.json").rename(tmp_path / "other" / "9.json")
+    before = sources.read_index(spark, path).count()
+    stream_index(stream_event_pages(spark, f"{tmp_path}/other"), path, f"{tmp_path}/c3").awaitTermination()
+    assert sources.read_index(spark, path).count() == before + 1
     answers = {r.qid: r for r in spark.read.parquet(f"{out}/answers").collect()}
+    assert answers.pop(90).question == QUESTIONS[0]
     assert set(answers) == {0, 1, 2, 3} and titles(answers[2]) == {EVENTS[2][0], EVENTS[4][0]}
     assert [r.reason for r in spark.read.parquet(f"{out}/rejected").collect()] == ["empty"]

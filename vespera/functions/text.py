@@ -29,8 +29,8 @@ def blank_to_null(c) -> Column:
 
 
 def is_missing(c) -> Column:
-    """True for the spellings of "no value": only white space, or ``nan`` in any case. Reads just the start of a text."""
-    return F.rlike(c, F.lit(rf"^[{_SPACE}]*(?:[nN][aA][nN])?[{_SPACE}]*$"))
+    """True for the spellings of "no value": only white space, or ``nan`` in any case."""
+    return F.lower(strip(c)).isin("", "nan")
 
 
 def missing_to_null(c) -> Column:

@@ -35,11 +35,11 @@ def running_totals(rows: DataFrame, key: str, order: str, totals: dict[str, Colu
 def judged_contexts(samples: DataFrame, verdicts: DataFrame) -> DataFrame:
     """``qid, rank, context, relevant``: each retrieved context of ``samples(qid, contexts)`` beside its verdict.
 
-    Ranks count from 1. Contexts and verdicts without a partner are left out.
+    Ranks count from 1. A context without a verdict stays, with NULL; a verdict without a context has no row.
     """
     ranked = samples.select("qid", F.posexplode("contexts").alias("pos", "context"))
     ranked = ranked.select("qid", (F.col("pos") + 1).alias("rank"), "context")
-    return ranked.join(verdicts.select("qid", "rank", "relevant"), ["qid", "rank"])
+    return ranked.join(verdicts.select("qid", "rank", "relevant"), ["qid", "rank"], "left")
 
 
 def context_precision(verdicts: DataFrame) -> DataFrame:
@@ -81,9 +81,9 @@ def class_summary(scores: DataFrame) -> DataFrame:
     )
 
 
-def metric_means(scores: DataFrame) -> DataFrame:
-    """``metric, mean`` for every numeric column, NULL and NaN left out, in one pass."""
-    numeric = [f.name for f in scores.schema.fields if isinstance(f.dataType, T.NumericType)]
+def metric_means(scores: DataFrame, key: str = "qid") -> DataFrame:
+    """``metric, mean`` for every numeric column but the key, NULL and NaN left out, in one pass."""
+    numeric = [f.name for f in scores.schema.fields if isinstance(f.dataType, T.NumericType) and f.name != key]
     means = scores.agg(*[F.avg(nan_to_null(F.col(f"`{name}`"))).alias(f"m{i}") for i, name in enumerate(numeric)])
     entries = [F.struct(F.lit(name).alias("metric"), F.col(f"m{i}").alias("mean")) for i, name in enumerate(numeric)]
     return means.select(F.inline(F.array(*entries)))

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.dates import month_year, try_timestamp
+from ..functions.dates import iso_date, month_year
 from ..functions.text import arrondissement, postal_code
 
 
 def events_by_month(events: DataFrame, date_col: str = "firstdate_begin") -> DataFrame:
-    """``month_year, count`` in month order; unreadable dates are left out."""
-    dated = events.select(try_timestamp(F.col(date_col)).alias("ts")).where(F.col("ts").isNotNull())
-    return dated.groupBy(month_year(F.col("ts")).alias("month_year")).count().orderBy("month_year")
+    """``month_year, count`` in month order; unreadable dates are left out. A date as text counts in its written month."""
+    text = isinstance(events.schema[date_col].dataType, T.StringType)
+    day = iso_date(F.col(date_col)) if text else F.col(date_col).cast("date")
+    dated = events.select(day.alias("day")).where(F.col("day").isNotNull())
+    return dated.groupBy(month_year(F.col("day")).alias("month_year")).count().orderBy("month_year")
 
 
 def top_groups(rows: DataFrame, key: str, n: int = 10) -> DataFrame:

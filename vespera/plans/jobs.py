@@ -48,20 +48,17 @@ def index_documents(
     topics: Mapping[str, Sequence[str]] = TOPICS,
     embedder: Embedder | None = None,
     dim: int = HASH_DIM,
-    max_chunks: int | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
     """Chunks of ``documents(doc_ord, text, metadata…)`` with ids, filter columns, topics and vectors.
 
-    Filter columns are worked out once per document, before it is cut. There is no shuffle, with two exceptions on
-    request: ``max_chunks`` makes a trial index of the first chunks only, and ``partitions`` deals the chunks out
-    evenly before the costly vector step, for input in a few large or very uneven files.
+    Filter columns are worked out once per document, before it is cut. There is no shuffle, with one exception on
+    request: ``partitions`` deals the chunks out evenly before the costly vector step, for input in a few large or very
+    uneven files.
     """
     chunks = with_chunk_id(chunk_text(with_facets(documents), size, overlap))
     if partitions is not None:
         chunks = chunks.repartition(partitions).sortWithinPartitions("chunk_id")
-    if max_chunks is not None:
-        chunks = chunks.orderBy("chunk_id").limit(max_chunks)
     searched = chunks.withColumn("_searched", searchable_text(F.col("text"), F.col("title")))
     with_topics = searched.withColumn("topics", match_topics(F.col("_searched"), topics)).drop("_searched")
     return embed(with_topics, "text", embedder, dim)
@@ -127,10 +124,11 @@ def search(questions: DataFrame, index: DataFrame, k: int = 3, embedder: Embedde
     return nearest.join(shown, "chunk_id")
 
 
-def evaluation_samples(test_set: DataFrame, answers: DataFrame, max_samples: int | None = 5) -> DataFrame:
-    """``qid, question, answer, contexts, ground_truth, reference`` of the first rows of an annotated test set.
+def evaluation_samples(test_set: DataFrame, answers: DataFrame, max_samples: int | None = None) -> DataFrame:
+    """``qid, question, answer, contexts, ground_truth, reference`` of an annotated test set.
 
-    ``test_set(qid, question, reference)``; ``answers(qid, answer, contexts)``. Rows meet on ``qid``.
+    ``test_set(qid, question, reference)``; ``answers(qid, answer, contexts)``. Rows meet on ``qid``; a question without
+    answer stays, with no contexts. ``max_samples`` takes the first rows only.
     """
     if max_samples is not None:
         test_set = test_set.orderBy("qid").limit(max_samples)
@@ -138,8 +136,9 @@ def evaluation_samples(test_set: DataFrame, answers: DataFrame, max_samples: int
     rows = test_set.select(
         "qid", strip(F.col("question")).alias("question"), reference.alias("ground_truth"), reference.alias("reference")
     )
-    return rows.join(answers.select("qid", "answer", "contexts"), "qid").select(
-        "qid", "question", "answer", "contexts", "ground_truth", "reference"
+    contexts = F.coalesce("contexts", F.array().cast("array<string>")).alias("contexts")
+    return rows.join(answers.select("qid", "answer", "contexts"), "qid", "left").select(
+        "qid", "question", "answer", contexts, "ground_truth", "reference"
     )
 
 

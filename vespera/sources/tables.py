@@ -25,8 +25,19 @@ _CSV = {
 
 
 def read_clean_csv(spark: SparkSession, path: str, schema: T.StructType = CLEAN_SCHEMA) -> DataFrame:
-    """CSV with a header line, with or without a byte-order mark. Columns must come in the order of ``schema``."""
-    return spark.read.schema(schema).options(**_CSV).csv(path)
+    """CSV with a header line, with or without a byte-order mark, read by the names in it.
+
+    Columns may come in any order; those of ``schema`` that the file lacks are NULL, others are left out. Files of a
+    folder must have the same header, or reading fails.
+    """
+    wanted = spark.createDataFrame([], schema).schema
+    # Nothing between commas is NULL, quotes around nothing are an empty text: the mark for NULL must be neither.
+    found = spark.read.options(**_CSV, enforceSchema=False, nullValue="\0").csv(path)
+    names = {c.strip("\ufeff"): c for c in found.columns}
+    columns = [
+        (F.col(f"`{names[f.name]}`") if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted
+    ]
+    return found.select(*columns)
 
 
 def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
