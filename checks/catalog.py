@@ -44,9 +44,8 @@ def _documents(spark, sf_dir):
 
 
 def _index(spark, sf_dir):
-    # Each given table is one row group, which Spark reads in one task; larger tables need no dealing out.
-    cores = spark.sparkContext.defaultParallelism
-    return plans.index_documents(_documents(spark, sf_dir), topics=TOPICS, partitions=cores)
+    # Each given table is one row group, which Spark reads in one task; tables of many files need no dealing out.
+    return plans.index_documents(_documents(spark, sf_dir), topics=TOPICS, by_range=True)
 
 
 # --- Sources and sinks ----------------------------------------------------------------------------------------------
@@ -570,7 +569,6 @@ def stream_refresh(spark, sf_dir):
     sources.write_index(plans.index_documents(old, topics=TOPICS), index)
     _write_pages(spark, sf_dir, inbox)
     events = op.prune_columns(stream_event_pages(spark, f"{inbox}/*")).drop("longdescription_fr")
-    cores = spark.sparkContext.defaultParallelism
-    refresh = stream_index(events, index, scratch_path(spark, "checkpoint"), topics=TOPICS, partitions=cores)
+    refresh = stream_index(events, index, scratch_path(spark, "checkpoint"), topics=TOPICS, by_range=True)
     refresh.awaitTermination()
     return sources.read_index(spark, index).select("uid", "title", "date_start", "chunk_pos", "text")

@@ -14,11 +14,11 @@ from vespera.streaming import refresh_batch, stream_answers, stream_event_pages,
 
 TODAY = dt.date(2026, 7, 23)
 RAW = "uid string, title_fr string, description_fr string, location_city string, location_department string, firstdate_begin string, lastdate_end string"
-DJANGO = ("Django Reinhardt Tribute / Baptiste Ferrandis & Friends", "Paris", "Paris", "2026-07-24T17:30:00+00:00",
-          "2026-07-24T20:30:00+00:00", "Une soirée jazz manouche consacrée à Django Reinhardt.")
+SWING = ("Bal swing au bord du canal", "Paris", "Paris", "2026-07-24T19:00:00+02:00", "2026-07-24T22:00:00+02:00",
+         "Du jazz manouche à danser.")
 
 
-def raw(spark, events=(*EVENTS, DJANGO)):
+def raw(spark, events=(*EVENTS, SWING)):
     return spark.createDataFrame([(e[0], e[0], e[5], *e[1:5]) for e in events], RAW).coalesce(1)
 
 
@@ -27,9 +27,9 @@ def questions(spark, texts, first=0):
 
 
 QUESTIONS = [
-    "Quels concerts de jazz sont proposés à Paris le 24 juillet 2026 ?",
-    "Y a-t-il un événement mêlant cinéma et jazz à Paris le 1er août 2026 ?",
-    "Que se passe-t-il à Paris le 12 août 2026 autour de l’astronomie ?",
+    "Des concerts de jazz à Paris le 24 juillet 2026 ?",
+    "Du cinéma avec du jazz à Paris le 2 août 2026 ?",
+    "De l’astronomie à Paris le 12 août 2026 ?",
     "Une visite dans le 93 ?",
 ]
 
@@ -43,15 +43,15 @@ def test_questions_end_to_end(spark, tmp_path):
     counts = plans.rebuild_index(plans.clean_events(raw(spark)), path).first()
     assert (counts.nb_documents, counts.nb_chunks) == (6, 6)
     out = {r.qid: r for r in plans.retrieve(questions(spark, QUESTIONS), sources.read_index(spark, path)).collect()}
-    # "concerts" asks for the topic too: the Django event has no such word, so only the date-free rules decide here.
+    # "concerts" asks for the topic too: the ball has no such word, so only the date-free rules decide here.
     assert titles(out[1]) == {EVENTS[0][0]}
     assert titles(out[2]) == {EVENTS[2][0], EVENTS[4][0]}
     assert out[3].sources == [] and out[3].context == EMPTY_CONTEXT and out[3].used_fallback
     assert EMPTY_CONTEXT in out[3].prompt and "Thursday 23 July 2026" in out[3].prompt
-    block = next(b for b in out[2].context.split("\n\n---\n\n") if "Nuit des étoiles" in b.split("\n")[1])
+    block = next(b for b in out[2].context.split("\n\n---\n\n") if "Télescopes" in b.split("\n")[1])
     assert block.startswith(
-        "ÉVÉNEMENT DISPONIBLE DANS LA BASE :\nTitre : Éclipse de Soleil - Nuit des étoiles\nVille : Paris\n"
-        "Département : Paris\nDate : du 2026-08-12T12:00:00+00:00 au 2026-08-12T21:59:00+00:00\nContenu indexé :\nTitre: "
+        "ÉVÉNEMENT DISPONIBLE DANS LA BASE :\nTitre : Télescopes sur le toit\nVille : Paris\n"
+        "Département : Paris\nDate : du 2026-08-12T21:00:00+02:00 au 2026-08-12T23:00:00+02:00\nContenu indexé :\nTitre: "
     )
 
 
@@ -99,13 +99,13 @@ def test_refresh_replaces_events_once(spark, tmp_path):
         refresh_batch(changed, path, "s/7")
         rows = sources.read_index(spark, path).collect()
         assert len(rows) == 7 and len({r.chunk_id for r in rows}) == 7
-        assert [r.text for r in rows if r.title == "Concert de jazz"][0].endswith("Nouveau texte")
+        assert [r.text for r in rows if r.title == EVENTS[1][0]][0].endswith("Nouveau texte")
     with contextlib.redirect_stdout(io.StringIO()) as plan:
         sources.read_index(spark, path).explain()
     assert "BroadcastHashJoin" in plan.getvalue() and "Exchange hash" not in plan.getvalue()  # the index is not moved
     refresh_batch(raw(spark, [(*EVENTS[1][:5], "Encore")]), path, "s/8")
     rows = sources.read_index(spark, path).collect()
-    assert len(rows) == 7 and [r.text for r in rows if r.title == "Concert de jazz"][0].endswith("Encore")
+    assert len(rows) == 7 and [r.text for r in rows if r.title == EVENTS[1][0]][0].endswith("Encore")
     plans.rebuild_index(plans.clean_events(raw(spark)), path)
     assert sources.read_index(spark, path).count() == 6
 
@@ -122,7 +122,7 @@ def test_streams(spark, tmp_path):
     put("1.json", EVENTS)
     stream_index(stream_event_pages(spark, pages), path, f"{tmp_path}/c1").awaitTermination()
     assert sources.read_index(spark, path).count() == 5
-    put("2.json", [(*EVENTS[0][:5], "Corrigé : cinéma et jazz."), DJANGO])
+    put("2.json", [(*EVENTS[0][:5], "Corrigé : cinéma et jazz."), SWING])
     stream_index(stream_event_pages(spark, pages), path, f"{tmp_path}/c1").awaitTermination()
     index = sources.read_index(spark, path)
     assert index.count() == 6 and index.where("text like '%Corrigé%'").count() == 1

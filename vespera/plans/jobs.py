@@ -48,17 +48,19 @@ def index_documents(
     topics: Mapping[str, Sequence[str]] = TOPICS,
     embedder: Embedder | None = None,
     dim: int = HASH_DIM,
-    partitions: int | None = None,
+    by_range: bool = False,
 ) -> DataFrame:
     """Chunks of ``documents(doc_ord, text, metadata…)`` with ids, filter columns, topics and vectors.
 
-    Filter columns are worked out once per document, before it is cut. There is no shuffle, with one exception on
-    request: ``partitions`` deals the chunks out evenly before the costly vector step, for input in a few large or very
-    uneven files.
+    Filter columns are worked out once per document, before it is cut. There is no shuffle unless ``by_range`` asks for
+    one, of documents before they are cut: for input in a few large or very uneven files. Each file then holds a range
+    of chunk ids, in order, so that its statistics tell readers what they can skip. How many there are is Spark's
+    choice by size: ``spark.sql.shuffle.partitions`` at most, merged to the advisory size.
     """
-    chunks = with_chunk_id(chunk_text(with_facets(documents), size, overlap))
-    if partitions is not None:
-        chunks = chunks.repartition(partitions).sortWithinPartitions("chunk_id")
+    documents = with_facets(documents)
+    if by_range:
+        documents = documents.repartitionByRange("doc_ord").sortWithinPartitions("doc_ord")
+    chunks = with_chunk_id(chunk_text(documents, size, overlap))
     searched = chunks.withColumn("_searched", searchable_text(F.col("text"), F.col("title")))
     with_topics = searched.withColumn("topics", match_topics(F.col("_searched"), topics)).drop("_searched")
     return embed(with_topics, "text", embedder, dim)
