@@ -1,7 +1,7 @@
 """Token ids in shards with a minimal perfect hash index: keyed access without scanning.
 
 A shard is one row of a Parquet table. ``payload`` holds the raw ids of its documents one after the other, two bytes
-each where the vocabulary allows it. The index maps a document's key to one of ``n_docs`` slots without storing keys:
+each where the vocabulary allows it, ``ids_before`` counts the ids of earlier shards of the same task. The index maps a document's key to one of ``n_docs`` slots without storing keys:
 ``levels`` are bit arrays, level after level; a key's slot is the number of set bits before its own. Each slot stores
 the key's fingerprint, so that keys which are not there are refused, and the offset of the document in the payload.
 """
@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import smaller_batches
+from .common import materialize, smaller_batches
 from .tokens import encoder
 
 #: A shard is closed by the document that brings it to this many ids; a longer document has a shard of its own.
@@ -27,12 +27,12 @@ SHARD_IDS = 1_000_000
 GAMMA, LEVELS = 2.0, 24
 
 _SHARD = (
-    "part int, shard int, n_docs int, n_ids long, width int, first_key long, last_key long, levels binary, "
+    "part int, shard int, n_docs int, n_ids long, ids_before long, width int, first_key long, last_key long, levels binary, "
     "fingerprints binary, offsets binary, keys binary, payload binary"
 )
 _SCHEMA = pa.schema(
-    [("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("width", pa.int32())]
-    + [("first_key", pa.int64()), ("last_key", pa.int64())]
+    [("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("ids_before", pa.int64())]
+    + [("width", pa.int32()), ("first_key", pa.int64()), ("last_key", pa.int64())]
     + [(c, pa.binary()) for c in ("levels", "fingerprints", "offsets", "keys", "payload")]
 )
 
@@ -136,10 +136,10 @@ def write_keyed(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sha
         ids: list[int | None] = []
         copies: list[int] = []
         pieces: list[bytes] = []
-        size, last, copy = 0, (), 0
+        size, written, last, copy = 0, 0, (), 0
 
         def close() -> pa.RecordBatch:
-            nonlocal ids, copies, pieces, size, shard
+            nonlocal ids, copies, pieces, size, written, shard
             plain = np.array([i or 0 for i in ids], "i8")
             known = np.array([i is not None for i in ids])
             keys = _key(plain, known, np.array(copies, "i8"))
@@ -152,9 +152,10 @@ def write_keyed(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sha
             prints[slot] = (_mix(keys, 211) >> np.uint64(32)).astype("u4")
             payload = np.frombuffer(b"".join(pieces), "<u4").astype(f"<u{width}").tobytes()
             listed = np.stack([plain, known.astype("i8"), np.array(copies, "i8")], axis=1).astype("<i8").tobytes()
-            row = [part, shard, len(ids), size, width, ids[0], ids[-1], index.dump(), prints.tobytes()]
+            row = [part, shard, len(ids), size, written, width, ids[0], ids[-1], index.dump(), prints.tobytes()]
             row += [offsets.tobytes(), listed, payload]
             shard += 1
+            written += size
             ids, copies, pieces, size = [], [], [], 0
             return pa.RecordBatch.from_arrays(
                 [pa.array([v], f.type) for v, f in zip(row, _SCHEMA, strict=True)], schema=_SCHEMA
@@ -178,18 +179,21 @@ def write_keyed(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sha
     ordered.mapInArrow(run, _SHARD).write.option("compression", "zstd").parquet(path)
 
 
-def _starts(spark: SparkSession, path: str) -> DataFrame:
-    """Ids before each shard. Tasks are few; their sums alone are ordered as a whole."""
-    shards = spark.read.schema(_SHARD).parquet(path).select("part", "shard", "n_ids")
-    before = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
-    sums, total = {}, 0
-    for r in parts:
-        sums[r.part] = total
-        total += r.n
-    base = spark.createDataFrame(list(sums.items()), "part int, base long")
-    inside = shards.withColumn("inside", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    return inside.join(base, "part").select("part", "shard", (F.col("base") + F.col("inside")).alias("before"))
+#: Tasks whose sums (12 bytes each) are sent to all readers: 12 MB at most. More are joined by a shuffle.
+SENT_PARTS = 1_000_000
+
+
+def _with_starts(shards: DataFrame) -> DataFrame:
+    """Shards with ``before``: ids of all documents before each. Only the sums of the writing tasks are ordered as a whole.
+
+    The sums go to where the shards lie, so that payloads are not shuffled.
+    """
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    base = materialize(parts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "shard-parts")
+    small = base.limit(SENT_PARTS + 1).count() <= SENT_PARTS
+    joined = shards.join(F.broadcast(base) if small else base, "part")
+    return joined.withColumn("before", F.col("base") + F.col("ids_before"))
 
 
 def read_keyed(spark: SparkSession, path: str) -> DataFrame:
@@ -217,7 +221,7 @@ def read_keyed(spark: SparkSession, path: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    shards = spark.read.schema(_SHARD).parquet(path).join(_starts(spark, path), ["part", "shard"])
+    shards = _with_starts(spark.read.schema(_SHARD).parquet(path))
     return shards.select("levels", "fingerprints", "offsets", "keys", "payload", "width", "before").mapInArrow(
         run, "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
