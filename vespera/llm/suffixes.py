@@ -21,8 +21,8 @@ from .common import kept_by_worker, materialize, smaller_batches
 
 #: Words of the shortest passage that counts, and words of a minimiser's sequence.
 PASSAGE, GRAM = 50, 13
-#: Words whose hashes a worker remembers.
-REMEMBERED = 1_000_000
+#: Words whose hashes a worker remembers, under 200 bytes each. A worker that meets more starts afresh.
+REMEMBERED = 250_000
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _BASE = 0x9E3779B97F4A7C15
 
