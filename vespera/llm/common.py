@@ -22,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def kept_by_worker(name: str, make: Callable[[], Any]) -> Any:
     """A value that a Python worker makes once and keeps for its later tasks, until one of another name is asked for.
 
-    One at a time, so that the tables of a pipeline's earlier stages don't add up to those of later ones. Task code travels by value, so a module's own variables would be new in each task.
+    One at a time, so that the tables of a pipeline's earlier stages don't add up to those of later ones. Task code
+    travels by value, so a module's own variables would be new in each task.
     """
     kept = sys.__dict__.setdefault("_vespera_kept", {})
     if name not in kept:
