@@ -12,7 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vespera.llm import ann, bpe, embed_dedup, keyed, mixing, ordinal, packing, separators, simhash, suffixes
+import corpus_pipeline
+from vespera.llm import ann, bpe, embed_dedup, keyed, mixing, ordinal, packing, separators, shingles, simhash, suffixes
 from vespera.llm.components import components
 from vespera.llm.tokens import PieceEncoder, tokenizer_path
 from vespera.session import scratch_path
@@ -169,6 +170,43 @@ def test_simhash_components(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def planted_copies():
+    """Texts beside copies with ever more words replaced, a group of many near copies, exact copies and blank texts."""
+    rng = random.Random(8)
+    text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    out = []
+    for changes in (1, 2, 3, 4, 5, 6, 8, 12):
+        for _ in range(6):
+            words = text(200)
+            near = list(words)
+            for p in rng.sample(range(200), changes):
+                near[p] = "new"
+            out += [" ".join(words), " ".join(near)]
+    centre = text(150)
+    for _ in range(60):
+        near = list(centre)
+        for p in rng.sample(range(150), 2):
+            near[p] = f"x{rng.randrange(99)}"
+        out.append(" ".join(near))
+    return [*out, out[0], out[0].upper().replace(" ", "  "), "", None, " \t", "one two", "one two"]
+
+
+@pytest.mark.parametrize("few", [4, 0])
+def test_pipeline_drops_near_copies_as_brute_force_does(spark, docs, none, monkeypatch, few):
+    monkeypatch.setattr(shingles, "FEW", few)
+    texts = planted_copies()
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(max(1, len(w) - 4))}
+    label = linked([grams(t) for t in texts], lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    table = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    kept = corpus_pipeline.near_duplicates(spark, table.repartition(3), "")
+    assert kept.columns == table.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")  # null and repeated ids
+    label = linked([grams(r[1]) for r in rows()], lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    assert kept.count() == len(set(label)) and kept.columns == docs.columns
+    assert corpus_pipeline.near_duplicates(spark, none, "").count() == 0
+
+
 @pytest.mark.parametrize("one_task", [50_000, 40])
 def test_simhash_links_connect_all_close_fingerprints(spark, monkeypatch, one_task):
     monkeypatch.setattr(simhash, "ONE_TASK", one_task)

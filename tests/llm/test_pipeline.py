@@ -23,3 +23,21 @@ def test_stages(spark, sf_dir):
     assert cut.count() == single.count() and suffixes.repeated_passages(cut).count() <= suffixes.repeated_passages(single).count()
     ids = {r.doc_id for r in packed.select("doc_id").distinct().collect()}
     assert ids == {r.doc_id for r in cut.select("doc_id").collect()}
+
+
+def test_near_duplicates_stage_follows_shingle_similarity(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    grams, least = {}, {}
+    for r in docs.select("doc_id", "text").collect():
+        w = (r.text or "").encode().lower().split()
+        grams[r.doc_id], least[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}, r.doc_id
+    for a in grams:
+        for b in grams:
+            if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                low, high = sorted((least[a], least[b]))
+                least = {k: low if v == high else v for k, v in least.items()}
+    single = materialize(p.near_duplicates(spark, docs, sf_dir), "single")
+    assert sorted(r.doc_id for r in single.select("doc_id").collect()) == sorted(set(least.values()))
+    cut = materialize(p.repeats(spark, single, sf_dir), "cut")
+    packed = p.pack(spark, cut, sf_dir)
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(least.values())
