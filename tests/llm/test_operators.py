@@ -61,6 +61,13 @@ def test_piece_encoder_and_bpe_give_the_library_ids(docs, none):
     assert bpe.encode_digests(none, tokenizer_path()).count() == 0
 
 
+def test_doubled_spaces_beside_other_white_space_give_the_library_ids(spark):
+    texts = ["a\xa0b ", "a b\xa0c ", " a\xa0b", "a  b\xa0c", "a\n\n\nb\xa0c\xa0d", "a\n b\u2003c", "a \nb\u3000c", "a\x85b\n", "a\u2003b c"]
+    want = [array("I", reference_ids(t)).tobytes() for t in texts]
+    assert PieceEncoder(tokenizer_path()).encode(texts) == want
+    assert bpe.ByteBpe(tokenizer_path()).encode(texts) == want
+
+
 def test_keyed_ids_are_in_order_and_found_by_key(spark, docs, none):
     path = scratch_path(spark, "keyed")
     keyed.write_keyed(docs, path, tokenizer_path(), end_id=2, shard_ids=700)

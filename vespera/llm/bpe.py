@@ -155,14 +155,15 @@ class ByteBpe:
         """Ids of each text as little-endian unsigned 32-bit integers. Special tokens keep their ids.
 
         No token crosses from visible text into a space before visible text, or into a line feed between such: a text
-        whose white space is of these two kinds is cut there, and each different word is looked at once.
+        whose white space is of these two kinds, none of it doubled or at an end, is cut there, and each different word
+        is looked at once.
         """
         cut: list[list[str] | None] = []
         words: set[str] = set()
         for t in texts:
             if not t:
                 cut.append([])
-            elif len(t.split()) == t.count(" ") + t.count("\n") + 1 and not any(s in t for s in self.special):
+            elif t.split() == t.replace("\n", " ").split(" ") and not any(s in t for s in self.special):
                 parts = t.replace("\n", " \n").split(" ")
                 parts[0] = "\n" + parts[0]
                 words.update(parts)

@@ -84,7 +84,7 @@ class PieceEncoder:
             elif (
                 self.plain
                 and "\0" not in t
-                and len(t.split()) == t.count(" ") + t.count("\n") + 1
+                and t.split() == t.replace("\n", " ").split(" ")  # no other white space, and none of it doubled or at an end
                 and not any(s in t for s in self.special)
             ):
                 parts = t.replace("\n", " \n").split(" ")
