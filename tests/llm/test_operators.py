@@ -273,6 +273,18 @@ def test_quality_orders_grades_and_keeps_good(spark, docs, none):
     assert ordinal.select_good(docs, nothing).count() == len(rows())
 
 
+def test_quality_fits_one_row_per_rated_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ordinal, "fit", lambda rows, grades: seen.append(rows))
+    data = [(1, f"copy number {i % 7}") for i in range(300)] + [(i, f"text {i}") for i in range(2, 60)]
+    texts = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    ratings = spark.createDataFrame([(i, i % 3) for i in range(1, 90)], "doc_id long, grade int")
+    ordinal.train(texts, ratings, 3)
+    ordinal.train(texts, ratings, 3, most=50)
+    assert [len(r) for r in seen] == [59, 50]
+    assert collections.Counter(g for g, _ in seen[0]) == collections.Counter(i % 3 for i in range(1, 60))
+
+
 def test_mixed_scores(docs, none):
     got = {r.doc_id: r for r in mixing.score_texts(docs).collect() if r.doc_id not in (None, 0)}
     held = lambda d: d is None or zlib.crc32(str(d).encode()) % 10 == 0

@@ -102,24 +102,26 @@ def fit(rows: list[tuple[int, np.ndarray]], grades: int, rounds: int = 150, ridg
 def train(docs: DataFrame, ratings: DataFrame, grades: int, most: int = LABELLED) -> Grades:
     """Fit on ratings(doc_id, grade) joined with docs(doc_id, text): at most ``most`` of them, by the hash of their id.
 
-    The bound is on the fit alone. Null ids or grades and grades outside 0 to ``grades`` - 1 are left out; an id with
-    several ratings takes the lowest.
+    The bound is on the fit alone, and on ids that docs has. Null ids or grades and grades outside 0 to ``grades`` - 1
+    are left out; an id with several ratings takes the lowest, one with several texts that of the smallest hash.
     """
     rated = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade"))
     rated = rated.where(f"doc_id is not null and grade between 0 and {grades - 1}").groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    there = rated.join(text.select("doc_id"), "doc_id", "left_semi")
+    chosen = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "grade")).alias("one")
+    texts = text.join(chosen, "doc_id").groupBy("doc_id").agg(one).select("doc_id", "one.text", "one.grade")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in smaller_batches(batches):
             found = pa.array([features(t) for t in batch["text"].to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["grade"], found], names=["doc_id", "grade", "found"])
 
-    rows = text.join(chosen, "doc_id").mapInArrow(run, "doc_id long, grade int, found array<int>").toArrow()
+    rows = texts.mapInArrow(run, "doc_id long, grade int, found array<int>").toArrow()
     grade, found, ids = rows["grade"].to_numpy(), rows["found"].combine_chunks(), rows["doc_id"].to_numpy()
     at, flat = found.offsets.to_numpy(), found.values.to_numpy()
-    # In the order of ids, so that the fit doesn't depend on how rows arrive; a repeated id may add rows.
-    order = np.argsort(ids, kind="stable")[:most]
+    order = np.argsort(ids)  # so that the fit doesn't depend on how rows arrive
     return fit([(int(grade[i]), np.sort(flat[at[i] : at[i + 1]])) for i in order], grades)
 
 
