@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vespera.llm import ordinal, packing, shingles, suffixes
+from vespera.llm import ordinal, packing, simhash, suffixes
 from vespera.llm.common import scratch_path, table
 from vespera.llm.tokens import tokenizer_path
 
@@ -16,8 +16,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more, verified exactly."""
-    return shingles.keep_one(docs, least=0.8, words_per_shingle=5)
+    """One document of each group that fingerprints of three-word shingles link at 2 or fewer differing bits."""
+    return simhash.keep_one(docs, most=2, words_per_shingle=3)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
