@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vespera.llm import ann, bpe, embed_dedup, keyed, mixing, ordinal, packing, separators, shingles, simhash, suffixes
+from vespera.llm import ann, bpe, embed_dedup, keyed, mixing, ordinal, packing, separators, simhash, suffixes
 from vespera.llm.components import components
 from vespera.llm.tokens import PieceEncoder, tokenizer_path
 from vespera.session import scratch_path
@@ -198,33 +198,31 @@ def planted_copies():
     return [*out, out[0], out[0].upper().replace(" ", "  "), "", None, " \t", "one two", "one two"]
 
 
-@pytest.mark.parametrize("few", [4, 0])
-def test_pipeline_drops_near_copies_as_brute_force_does(spark, docs, none, monkeypatch, few):
-    monkeypatch.setattr(shingles, "FEW", few)
+def test_pipeline_drops_near_copies_as_brute_force_does(spark, docs, none):
+    close = lambda a, b: (a ^ b).bit_count() <= 2
     texts = planted_copies()
-    grams = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(max(1, len(w) - 4))}
-    label = linked([grams(t) for t in texts], lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    label = linked([simhash.fingerprint(t) for t in texts], close)
     table = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, source string")
     kept = corpus_pipeline.near_duplicates(spark, table.repartition(3), "")
     assert kept.columns == table.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
     kept = corpus_pipeline.near_duplicates(spark, docs, "")  # null and repeated ids
-    label = linked([grams(r[1]) for r in rows()], lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    label = linked([simhash.fingerprint(r[1]) for r in rows()], close)
     assert kept.count() == len(set(label)) and kept.columns == docs.columns
     assert corpus_pipeline.near_duplicates(spark, none, "").count() == 0
 
 
-@pytest.mark.parametrize("one_task", [50_000, 40])
-def test_simhash_links_connect_all_close_fingerprints(spark, monkeypatch, one_task):
+@pytest.mark.parametrize(("one_task", "most"), [(50_000, 2), (40, 2), (40, 1), (50_000, 1), (40, 0)])
+def test_simhash_links_connect_all_close_fingerprints(spark, monkeypatch, one_task, most):
     monkeypatch.setattr(simhash, "ONE_TASK", one_task)
     rng = random.Random(5)
     centre = rng.getrandbits(64)
     close = {centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(700)}
     values = sorted(close | {rng.getrandbits(64) for _ in range(100)})
     signed = np.array(values, "u8").view("i8").tolist()
-    links = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"))
+    links = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), most)
     found = {r.id: r.component for r in components(links).collect()}
-    want = linked(values, lambda a, b: bin(a ^ b).count("1") <= 2)
+    want = linked(values, lambda a, b: (a ^ b).bit_count() <= most)
     groups = collections.defaultdict(set)
     for v, c in zip(signed, want):
         groups[c].add(found.get(v, v))

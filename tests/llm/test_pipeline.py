@@ -25,15 +25,14 @@ def test_stages(spark, sf_dir):
     assert ids == {r.doc_id for r in cut.select("doc_id").collect()}
 
 
-def test_near_duplicates_stage_follows_shingle_similarity(spark, sf_dir):
+def test_near_duplicates_stage_follows_bit_distance(spark, sf_dir):
+    """Brute force over all pairs of fingerprints; then the later stages work on what is left."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    grams, least = {}, {}
-    for r in docs.select("doc_id", "text").collect():
-        w = (r.text or "").encode().lower().split()
-        grams[r.doc_id], least[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}, r.doc_id
-    for a in grams:
-        for b in grams:
-            if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+    bits = {r.doc_id: simhash.fingerprint(r.text) for r in docs.select("doc_id", "text").collect()}
+    least = {i: i for i in bits}
+    for a in bits:
+        for b in bits:
+            if a < b and (bits[a] ^ bits[b]).bit_count() <= 2:
                 low, high = sorted((least[a], least[b]))
                 least = {k: low if v == high else v for k, v in least.items()}
     single = materialize(p.near_duplicates(spark, docs, sf_dir), "single")
@@ -41,3 +40,16 @@ def test_near_duplicates_stage_follows_shingle_similarity(spark, sf_dir):
     cut = materialize(p.repeats(spark, single, sf_dir), "cut")
     packed = p.pack(spark, cut, sf_dir)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(least.values())
+
+
+def test_stages_keep_columns_whose_names_clash(spark):
+    clash = "_id long, _hash long, _copy long, _spans string, _new string, row int, id int, hash int, kept_id int, fp int, n int"
+    shared = " ".join(f"w{i}" for i in range(60))
+    rows = [(0, f"a b {shared}"), (1, f"a b {shared}"), (1, f"a b {shared}"), (2, f"{shared} other words here and there"), (None, None)]
+    docs = spark.createDataFrame([(*r, *[None] * 11) for r in rows], f"doc_id long, text string, {clash}")
+    single = simhash.keep_one(docs)
+    assert single.columns == docs.columns
+    assert sorted(r.doc_id for r in single.where("doc_id is not null").collect()) == [0, 2]
+    cut = suffixes.without_repeats(single)
+    assert cut.columns == docs.columns
+    assert {r.doc_id: r.text for r in cut.collect()} == {0: rows[0][1], 2: " other words here and there", None: None}

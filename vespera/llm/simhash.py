@@ -235,7 +235,10 @@ def links(fps: DataFrame, most: int = 2, parts: int = 3) -> DataFrame:
     links. A group up to ``ONE_TASK`` is worked in one task, which returns its spanning links. Larger groups (many
     different fingerprints that agree in a whole partition) never meet in one task: there, fingerprints within two bits
     are brought together by the values within one bit of both, and each such value links its smallest to the others.
+    ``most`` above 2 is refused, since such values would not meet there.
     """
+    if not 0 <= most <= 2:
+        raise ValueError("fingerprints link at 0, 1 or 2 differing bits")
     partitions = correlated_partitions(fps, parts)
     names = [(i, h) for i in range(parts) for h in (0, 1)]
 
@@ -310,11 +313,14 @@ def links(fps: DataFrame, most: int = 2, parts: int = 3) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     found = groups.mapInArrow(verify, "a long, b long")
-    if hot.limit(1).count():
+    if most and hot.limit(1).count():
         crowded = probes.join(hot.select("key"), "key", "left_semi").select("fp").distinct()
         ball = F.array(F.lit(0).cast("long"), *[F.shiftleft(F.lit(1).cast("long"), b) for b in range(BITS)])
         near = crowded.select("fp", F.explode(F.transform(ball, lambda m: F.col("fp").bitwiseXOR(m))).alias("centre"))
-        least = near.groupBy("centre").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
+        if most == 1:  # one of the two is the centre
+            least = crowded.select(F.col("fp").alias("centre"), F.col("fp").alias("a"))
+        else:
+            least = near.groupBy("centre").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
         found = found.union(near.join(least, "centre").where("fp <> a").select("a", F.col("fp").alias("b")))
     return found.distinct()
 
@@ -340,22 +346,23 @@ def near_duplicates(docs: DataFrame, most: int = 2, words_per_shingle: int = 3)
     )
 
 
-def keep_one(docs: DataFrame, most: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, most: int = 2, words_per_shingle: int = 3) -> DataFrame:
     """docs without all but one document of each near-duplicate group: the one with the smallest doc_id.
 
-    Columns stay as they are. Rows that repeat an id and a text leave one row; an id that repeats with other texts counts
-    as different documents. A null doc_id stays only if its group has no other id.
+    Columns stay as they are, whatever their names. Rows that repeat an id and a text leave one row; an id that repeats
+    with other texts counts as different documents. A null doc_id stays only if its group has no other id.
     """
-    groups = near_duplicates(docs, most)
+    groups = near_duplicates(docs, most, words_per_shingle)
     chosen = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = chosen.groupBy(F.col("doc_id").alias("_id"), "component_id", "fp").agg(
-        F.min("text_hash").alias("_hash"), F.count("*").alias("_rows")
+    kept = chosen.groupBy(F.col("doc_id").alias("kept_id"), "component_id", "fp").agg(
+        F.min("text_hash").alias("kept_hash"), F.count("*").alias("n")
     )
     kept = materialize(kept, "kept")
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (_text_hash() == F.col("_hash"))
-    once = docs.join(kept.where("_rows = 1").select("_id", "_hash"), same, "left_semi")
-    repeated = kept.where("_rows > 1").select("_id", "_hash")
-    if not repeated.limit(1).count():
-        return once
-    again = docs.join(repeated, same, "left_semi").withColumn("_hash", _text_hash())
-    return once.union(again.dropDuplicates(["doc_id", "_hash"]).drop("_hash"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), _text_hash().alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash"))
+    once = rows.join(kept.where("n = 1"), same, "left_semi")
+    repeated = kept.where("n > 1")
+    if repeated.limit(1).count():
+        again = rows.join(repeated, same, "left_semi")
+        once = once.union(again.dropDuplicates(["id", "hash"]))
+    return once.select("row.*")

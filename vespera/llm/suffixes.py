@@ -281,17 +281,17 @@ def without_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -
             out.append(b"".join([*kept, raw[last:]]).decode("utf-8", "surrogatepass"))
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (_text_hash() == F.col("_copy")), "left")
-    new = F.when(F.col("_spans").isNull(), docs["text"]).otherwise(cut(docs["text"], F.col("_spans")))
-    out = joined.withColumn("_new", new)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), _text_hash().alias("hash"))
+    joined = rows.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_copy")), "left")
+    whole = F.col("_spans").isNull()
+    field = lambda c: F.col("row").getField(c)
+    joined = joined.withColumn("new", F.when(whole, field("text")).otherwise(cut(field("text"), F.col("_spans"))))
     columns = []
     for c in docs.columns:
         if c == "text":
-            columns.append(F.col("_new").alias("text"))
+            columns.append(F.col("new").alias("text"))
         elif c == "n_chars":
-            kind = docs.schema[c].dataType
-            changed = F.when(F.col("_spans").isNull(), docs[c]).otherwise(F.length("_new").cast(kind))
-            columns.append(changed.alias(c))
+            columns.append(F.when(whole, field(c)).otherwise(F.length("new").cast(docs.schema[c].dataType)).alias(c))
         else:
-            columns.append(docs[c])
-    return out.select(*columns)
+            columns.append(field(c).alias(c))
+    return joined.select(*columns)
