@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embed_dedup, keyed, mixing, ordinal, packing, separators, simhash, suffixes
+from . import ann, bpe, embed_dedup, keyed, mixing, ordinal, packing, separators, simhash, suffixes, whitening
 from .common import scratch_path, table
 from .tokens import tokenizer_path
 
@@ -76,6 +76,12 @@ def op10_packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op12_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the eight widest components; the deviation as a long, which raises once it no longer fits."""
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"), components=8, scale=1024, shift=100_000)
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_keyed_ids,
         op9_quality_grades,
         op10_packed_pieces,
+        op12_whitened,
     )
 }
 
