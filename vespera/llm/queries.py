@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embed_dedup, keyed, mixing, ordinal, packing, separators, simhash, suffixes, whitening
+from . import ann, bpe, embed_dedup, keyed, mixing, ordinal, packing, prefix_trie, separators, simhash, suffixes, whitening
 from .common import scratch_path, table
 from .tokens import tokenizer_path
 
@@ -82,6 +82,12 @@ def op12_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix of the conversations, which share the first turns of the first one of each twenty."""
+    turns = prefix_trie.with_shared_starts(table(spark, sf_dir, "conversations"), every=20, most=4)
+    return prefix_trie.prefix_trie(turns).drop("a", "b")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,10 +102,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_grades,
         op10_packed_pieces,
         op12_whitened,
+        op13_prefix_trie,
     )
 }
 
-#: SQL for what it can express: one row per vector, linked by whole-table comparison within labels.
+#: crc32 of the decimal digits of ``c``, a bit at a time.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::varchar, ''), lambda s: ascii(s)::bigint)),
+    lambda x, y: list_reduce(list_prepend(xor(x, y), range(8)),
+      lambda b, i: case when b & 1 = 1 then xor(b >> 1, 3988292384) else b >> 1 end)), 4294967295)"""
+
+#: SQL for what it can express: one row per vector, linked by whole-table comparison within labels; every node of the
+#: trie beside the nodes whose key starts with its own.
 SQL: dict[str, str] = {
     "op4_vector_duplicates": """
         with recursive v as (
@@ -116,4 +129,28 @@ SQL: dict[str, str] = {
         select e.vec_id, (select count(*) from link where a = e.vec_id) as n_links, min(r.other) as component_id,
                e.vec_id = min(r.other) as kept
         from embeddings e join reach r on r.id = e.vec_id group by e.vec_id""",
+    "op13_prefix_trie": rf"""
+        with ids as (select distinct conv_id as c from conversations where conv_id is not null),
+        given as (select c, {_CRC32} % 4 as h from ids),
+        own as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by
+            conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as place from conversations),
+        turns as (
+            select c, 0 as part, place, role, text from given join own on conv_id = c - c % 20 and place < h
+            union all select c, 1, place, role, text from given join own on conv_id = c and place >= h),
+        path as (
+            select c, 0 as depth, '' as key, 0 as words from ids union all
+            select c, row_number() over w, string_agg(sha256(length(role) || ':' || role || text), '') over w,
+                len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) from turns
+            window w as (partition by c order by part, place rows unbounded preceding)),
+        node as (select key, depth, min(c) as conv_id, count(*) as n, any_value(words) as words from path group by all),
+        last as (select c, arg_max(key, depth) as key from path group by c),
+        ends as (select key, string_agg(c::varchar, ',' order by c) as ids from last group by key),
+        child as (select key[:-65] as key, count(*) as n from node where depth > 0 group by all),
+        below as (select t.key, count(*) filter (c.key is null) as leaves, sum((d.n - 1) * d.words) as saved
+            from node t join node d on starts_with(d.key, t.key) left join child c on c.key = d.key group by t.key)
+        select t.conv_id, t.depth::bigint as depth, p.conv_id as parent_conv_id, t.n as n_convs,
+            coalesce(c.n, 0)::bigint as n_children, b.leaves as n_leaves, b.saved::bigint as saved_tokens,
+            sha256(coalesce(e.ids, '')) as ends_sha256
+        from node t join below b using (key) left join child c using (key) left join ends e using (key)
+        left join node p on t.depth > 0 and p.key = t.key[:-65]""",
 }
