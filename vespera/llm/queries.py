@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embed_dedup, keyed, mixing, ordinal, packing, prefix_trie, separators, simhash, suffixes, whitening
+from . import ann, bpe, embed_dedup, fm_index, keyed, mixing, ordinal, packing, prefix_trie, separators, simhash, suffixes, whitening
 from .common import scratch_path, table
 from .tokens import tokenizer_path
 
@@ -76,6 +76,12 @@ def op10_packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op11_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows of twenty that occur earlier."""
+    cut = fm_index.remove_repeats(table(spark, sf_dir, "documents"), window=20)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on the eight widest components; the deviation as a long, which raises once it no longer fits."""
     rows = whitening.whiten(table(spark, sf_dir, "embeddings"), components=8, scale=1024, shift=100_000)
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_keyed_ids,
         op9_quality_grades,
         op10_packed_pieces,
+        op11_repeated_windows,
         op12_whitened,
         op13_prefix_trie,
     )
@@ -129,6 +136,17 @@ SQL: dict[str, str] = {
         select e.vec_id, (select count(*) from link where a = e.vec_id) as n_links, min(r.other) as component_id,
                e.vec_id = min(r.other) as kept
         from embeddings e join reach r on r.id = e.vec_id group by e.vec_id""",
+    "op11_repeated_windows": r"""
+        with given as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+        windows as (select doc_id, unnest(range(1, len(words) - 18)) as s, words from given where len(words) >= 20),
+        late as (select doc_id, s from windows qualify row_number() over (
+            partition by array_to_string(words[s:s + 19], ' ') order by doc_id nulls first, s) > 1),
+        gone as (select distinct doc_id, s + i as place from late, range(0, 20) r(i)),
+        split as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as place from given),
+        kept as (select doc_id, count(*) as n, string_agg(word, ' ' order by place) as text
+            from split s where not exists (from gone g where g.doc_id = s.doc_id and g.place = s.place) group by doc_id)
+        select given.doc_id, len(words)::bigint as n_words, len(words) - coalesce(kept.n, 0) as n_removed,
+            sha256(coalesce(kept.text, '')) as kept_sha256 from given left join kept using (doc_id)""",
     "op13_prefix_trie": rf"""
         with ids as (select distinct conv_id as c from conversations where conv_id is not null),
         given as (select c, {_CRC32} % 4 as h from ids),
