@@ -138,11 +138,12 @@ SQL: dict[str, str] = {
         from embeddings e join reach r on r.id = e.vec_id group by e.vec_id""",
     "op11_repeated_windows": r"""
         with given as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
-        windows as (select doc_id, unnest(range(1, len(words) - 18)) as s, words from given where len(words) >= 20),
-        late as (select doc_id, s from windows qualify row_number() over (
-            partition by array_to_string(words[s:s + 19], ' ') order by doc_id nulls first, s) > 1),
-        gone as (select distinct doc_id, s + i as place from late, range(0, 20) r(i)),
         split as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as place from given),
+        windows as (select doc_id, place as s, string_agg(word, ' ') over w as text, count(*) over w as n from split
+            window w as (partition by doc_id order by place rows between current row and 19 following)),
+        late as (select doc_id, s from windows where n = 20
+            qualify row_number() over (partition by text order by doc_id nulls first, s) > 1),
+        gone as (select distinct doc_id, s + i as place from late, range(0, 20) r(i)),
         kept as (select doc_id, count(*) as n, string_agg(word, ' ' order by place) as text
             from split s where not exists (from gone g where g.doc_id = s.doc_id and g.place = s.place) group by doc_id)
         select given.doc_id, len(words)::bigint as n_words, len(words) - coalesce(kept.n, 0) as n_removed,
