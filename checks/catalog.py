@@ -109,7 +109,7 @@ def index_round_trip(spark, sf_dir):
     path = scratch_path(spark, "index")
     sources.write_index(_index(spark, sf_dir), path)
     stored = sources.read_index(spark, path).withColumn("topics", F.nullif(F.array_join("topics", ","), F.lit("")))
-    return stored.drop("doc_ord", "embedding", "event_key")
+    return stored.drop("doc_ord", "embedding", "event_key", "bucket")
 
 
 @query("select page_id, replace(replace(replace(html, '<p>', ''), '</p>', ''), '<br>', chr(10)) as html from pages")
@@ -147,6 +147,17 @@ def iso_date(spark, sf_dir):
     return op.with_facets(_documents(spark, sf_dir)).select("doc_ord", "date_start", "date_end", "start_d", "end_d")
 
 
+@query(
+    f"""with {o.EVENTS} select doc_id, strftime(coalesce(try_cast(firstdate_begin as timestamptz),
+    case when regexp_full_match(firstdate_begin, '[0-9]{{8}}') then try_strptime(firstdate_begin, '%Y%m%d') end::timestamptz)
+    at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as begins from raw_events"""
+)
+def parse_timestamps(spark, sf_dir):
+    """Starts as moments: with an offset, as basic dates, blank, and on days that do not exist."""
+    begins = fn.try_timestamp(F.col("firstdate_begin"))
+    return raw_events(spark, sf_dir).select("doc_id", F.date_format(begins, "yyyy-MM-dd HH:mm:ss").alias("begins"))
+
+
 # --- Chunks, topics, vectors ----------------------------------------------------------------------------------------
 
 
@@ -212,7 +223,8 @@ def knn_topk(spark, sf_dir):
     """Ten nearest vectors of every vector."""
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.select(F.col("vec_id").alias("qid"), "embedding")
-    found = op.knn(asked, vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"), 10)
+    searched = vectors.select(F.col("vec_id").alias("chunk_id"), "embedding")
+    found = op.knn(asked, searched, 10, first=F.col("chunk_id") % 8 == 0)  # part of the table bounds the distances
     return found.withColumn("distance", F.round("distance", 6))
 
 
@@ -348,7 +360,9 @@ def retrieve(spark, sf_dir):
     f"""with recursive {o.INDEX}, {o.QUESTIONS},
   chunk_text as (select chunk_id, text from indexed), question_text as (select qid, question as text from questions),
   {o.vectors('chunk_text', 'chunk_id')}, {o.vectors('question_text', 'qid')}
-  select qid, chunk_id, r::int as rank, round(d, 6) as distance, title, city, date_start, substr(text, 1, 250) as excerpt from (
+  select qid, chunk_id, r::int as rank, round(d, 6) as distance, coalesce(title, 'Titre inconnu') as title,
+  coalesce(city, 'Ville inconnue') as city, coalesce(date_start, 'Date inconnue') as date_start,
+  substr(text, 1, 250) as excerpt from (
      select q.k as qid, c.k as chunk_id, list_distance(q.v, c.v) ** 2 as d,
      row_number() over (partition by q.k order by list_distance(q.v, c.v) ** 2, c.k) as r
      from question_text_vec q, chunk_text_vec c) join indexed using (chunk_id) where r <= 3"""
@@ -563,9 +577,13 @@ def stream_retrieve(spark, sf_dir):
     select uid, title, date_start, chunk_pos, c.text from chunks c join docs d on d.doc_ord = c.id"""
 )
 def stream_refresh(spark, sf_dir):
-    """Event pages arriving as files, applied to an index that already holds an older text for every event."""
+    """Event pages arriving as files, applied to an index that already holds an older text for every event.
+
+    Events whose record has no description any more were in the index too, and leave it.
+    """
     index, inbox = scratch_path(spark, "index"), scratch_path(spark, "pages")
-    old = _documents(spark, sf_dir).withColumn("text", F.lit("ancienne version"))
+    before = raw_events(spark, sf_dir).withColumn("description_fr", F.lit("ancienne version"))
+    old = op.to_documents(op.strip_html(op.compose_text(before)), "doc_id")
     sources.write_index(plans.index_documents(old, topics=TOPICS), index)
     _write_pages(spark, sf_dir, inbox)
     events = op.prune_columns(stream_event_pages(spark, f"{inbox}/*")).drop("longdescription_fr")

@@ -1,4 +1,6 @@
+import contextlib
 import datetime as dt
+import io
 import random
 
 from dateutil.parser import isoparse
@@ -8,6 +10,7 @@ from vespera.functions.dates import iso_date
 from vespera.functions.fixed_values import TOPICS
 from vespera.functions.text import searchable_text
 from vespera.functions.topics import match_topics
+from vespera.operators.chunk import bucket_of
 from vespera.operators.constraints import apply_constraints, first_events, first_matches, with_facets
 from vespera.operators.questions import parse_questions
 
@@ -107,8 +110,36 @@ def test_both_paths_follow_the_rules(spark):
     top = {n: w[:3] for n, w in want.items()}
     assert by_question(out) == want
     assert by_question(first_events(out)) == top
-    for block_bytes in (1 << 20, 2 * 4096):
-        assert by_question(first_matches(q, chunks, 3, block_bytes)) == top
+    assert by_question(first_matches(q, chunks, 3)) == top
+    # One chunk a document, in rounds of 40, 640 … documents, and with the buckets that a stored index has.
+    spread = chunks.withColumn("chunk_id", F.shiftleft("chunk_id", 20))
+    ids = {n: [i << 20 for i in w] for n, w in top.items()}
+    for table in (spread, spread.withColumn("bucket", bucket_of(F.col("chunk_id")))):
+        assert by_question(first_matches(q, table, 3, first_docs=40)) == ids
+
+
+def test_first_matches_of_wide_reversed_and_far_dates(spark):
+    days = [("0001-01-02", "9999-12-30"), ("2026-09-20", "2026-07-01"), ("9999-01-01", "9999-12-31"), ("2020-01-01", "2026-07-23"),
+            ("2026-07-01", "2026-09-20"), ("2024-01-01", "2029-01-01"), ("2026-08-12", None), ("2027-03-05", "2027-03-05")]
+    rows = [(i << 20, str(i), "t", "Paris", "Paris", a, b, "x") for i, (a, b) in enumerate(days)]
+    texts = ["Quoi à Paris ?", "le 12 août 2026", "quoi en mars", "quoi en juillet", "ce week-end à Paris"]
+    q, out = ask(spark, chunks_from(spark, rows), list(enumerate(texts)))
+    both = [sorted((r.qid, r.chunk_id) for r in df.collect()) for df in (out, first_matches(q, chunks_from(spark, rows), 99, first_docs=3))]
+    assert both[0] == both[1] and len(both[0]) > 15
+    none = chunks_from(spark, rows).where("chunk_id < 0")
+    assert first_matches(q, none).count() == 0 and first_matches(q.limit(0), chunks_from(spark, rows)).count() == 0
+
+
+def test_scan_is_told_the_dates_and_cities_asked_for(spark, tmp_path):
+    rows = [(i << 20, str(i), "t", c, "Paris", "2026-08-12", None, "x") for i, c in enumerate(["Paris", "Lyon"] * 5)]
+    chunks_from(spark, rows).write.parquet(f"{tmp_path}/chunks")
+    q, _ = ask(spark, chunks_from(spark, rows), [(1, "Quoi à Paris le 12 août 2026 ?")])
+    found = first_matches(q, spark.read.parquet(f"{tmp_path}/chunks"))
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        found.explain("formatted")
+    pushed = [x for x in plan.getvalue().splitlines() if "PushedFilters" in x and "city_norm" in x]
+    assert pushed and all("EqualTo(city_norm,paris)" in x and "end_d,2026-08-12" in x and "start_d,2026-08-12" in x for x in pushed)
+    assert [r.chunk_id >> 20 for r in found.orderBy("rank").collect()] == [0, 2, 4]
 
 
 def test_iso_dates_agree_with_dateutil(spark):

@@ -2,6 +2,7 @@ import contextlib
 import datetime as dt
 import io
 import json
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from test_constraints import EVENTS
 from vespera import plans, sources
 from vespera.functions.fixed_values import EMPTY_CONTEXT
 from vespera.functions.text import assemble_prompt
+from vespera.session import materialize, scratch_dir, scratch_scope
 from vespera.streaming import refresh_batch, stream_answers, stream_event_pages, stream_index
 
 TODAY = dt.date(2026, 7, 23)
@@ -103,6 +105,7 @@ def test_refresh_replaces_events_once(spark, tmp_path):
     with contextlib.redirect_stdout(io.StringIO()) as plan:
         sources.read_index(spark, path).explain()
     assert "BroadcastHashJoin" in plan.getvalue() and "Exchange hash" not in plan.getvalue()  # the index is not moved
+    assert plan.getvalue().count("FileScan parquet") == 2  # the segments, and the list of newest versions
     refresh_batch(raw(spark, [(*EVENTS[1][:5], "Encore")]), path, "s/8")
     rows = sources.read_index(spark, path).collect()
     assert len(rows) == 7 and [r.text for r in rows if r.title == EVENTS[1][0]][0].endswith("Encore")
@@ -144,3 +147,128 @@ def test_streams(spark, tmp_path):
     assert answers.pop(90).question == QUESTIONS[0]
     assert set(answers) == {0, 1, 2, 3} and titles(answers[2]) == {EVENTS[2][0], EVENTS[4][0]}
     assert [r.reason for r in spark.read.parquet(f"{out}/rejected").collect()] == ["empty"]
+
+
+def gone(event):
+    return (*event[:5], None)
+
+
+def test_events_without_description_leave_the_index_and_may_come_back(spark, tmp_path):
+    path = f"{tmp_path}/index"
+    plans.rebuild_index(plans.clean_events(raw(spark)), path)
+    titles_of = lambda: sorted(r.title for r in sources.read_index(spark, path).select("title").collect())
+    every = titles_of()
+    # One event loses its description, one keeps only blanks, one is new and has none, one is only changed.
+    batch = raw(spark, [gone(EVENTS[0]), gone(("Neuf", *EVENTS[0][1:])), (*EVENTS[2][:5], "Autre texte")])
+    for _ in range(2):
+        assert refresh_batch(batch, path, "s/1").first().nb_chunks == 1
+        assert titles_of() == sorted(set(every) - {EVENTS[0][0]})
+    nothing = refresh_batch(raw(spark, [gone(EVENTS[1])]), path, "s/2").first()  # a refresh that only removes
+    assert (nothing.nb_documents, nothing.nb_chunks) == (0, 0)
+    assert titles_of() == sorted(set(every) - {EVENTS[0][0], EVENTS[1][0]})
+    answer = plans.retrieve(questions(spark, [QUESTIONS[1]]), sources.read_index(spark, path)).first()
+    assert EVENTS[0][0] not in titles(answer)
+    refresh_batch(raw(spark, [EVENTS[0]]), path, "s/3")
+    assert titles_of() == sorted(set(every) - {EVENTS[1][0]})
+    # Of several records of one event in a batch, those with a description stay.
+    refresh_batch(raw(spark, [gone(EVENTS[2]), EVENTS[2]]), path, "s/4")
+    assert titles_of() == sorted(set(every) - {EVENTS[1][0]})
+
+
+def test_events_without_uid_are_removed_by_title_start_and_city(spark, tmp_path):
+    path = f"{tmp_path}/index"
+    nameless = raw(spark).withColumn("uid", F.lit(None).cast("string"))
+    plans.rebuild_index(plans.clean_events(nameless), path)
+    refresh_batch(raw(spark, [gone(EVENTS[3])]).withColumn("uid", F.lit(" ")), path, "s/1")
+    left = {r.title for r in sources.read_index(spark, path).collect()}
+    assert left == {e[0] for e in (*EVENTS, SWING)} - {EVENTS[3][0]}
+
+
+def test_compaction_keeps_rows_and_leaves_one_scan(spark, tmp_path):
+    path = f"{tmp_path}/index"
+    plans.rebuild_index(plans.clean_events(raw(spark)), path)
+    for i in range(10):
+        events = [(*EVENTS[i % 5][:5], f"Texte {i}"), (f"Ajout {i}", "Paris", "Paris", "2026-08-03", None, "neuf")]
+        events += [gone((f"Ajout {i - 4}", "Paris", "Paris", "2026-08-03", None, ""))] if i > 4 else []
+        refresh_batch(raw(spark, events), path, f"s/{i}")
+    columns = [c for c in sources.read_index(spark, path).columns]
+    rows = lambda: sorted(map(str, sources.read_index(spark, path).select(*columns).collect()))
+    before = rows()
+    assert len(before) == 6 + 10 - 5
+    assert [len(list((tmp_path / "index" / d).glob("segment=*"))) for d in ("segments", "touched")] == [11, 10]
+    made = sources.compact_index(spark, path).first()
+    assert (made.version, made.nb_chunks) == (12, 11) and rows() == before
+    assert sources.drop_replaced(spark, path, keep=3) == 8 and sources.drop_replaced(spark, path) == 3
+    assert rows() == before
+    assert [len(list((tmp_path / "index" / d).glob("segment=*"))) for d in ("segments", "touched")] == [1, 0]
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        sources.read_index(spark, path).explain()
+    assert plan.getvalue().count("FileScan parquet") == 1 and "Join" not in plan.getvalue()
+    assert refresh_batch(raw(spark, [gone(EVENTS[0])]), path, "s/3").first().version == 5  # applied before, still known
+    assert rows() == before
+    # A refresh that ends while a compaction runs takes its version.
+    refresh_batch(raw(spark, [SWING]), path, "s/90")
+    with pytest.raises(RuntimeError, match="claimed"):
+        sources.write_index(sources.read_index(spark, path), path, after=12)
+
+
+def test_documents_are_numbered_without_gaps(spark, tmp_path):
+    path = f"{tmp_path}/index"
+    many = [(f"E{i}", "Paris", "Paris", "2026-08-01", None, "x" if i % 3 else None) for i in range(90)]
+    spread = raw(spark, many).repartition(7)
+    documents = plans.clean_events(spread)
+    plans.rebuild_index(documents, path)
+    numbers = lambda: sorted(r.doc_ord for r in sources.read_index(spark, path).select("doc_ord").collect())
+    assert numbers() == list(range(60))
+    refresh_batch(raw(spark, [("N1", "Paris", "Paris", "2026-08-01", None, "neuf"), many[1]]), path, "s/1")
+    assert sources.read_log(spark, path).agg(F.max("next_ord")).first()[0] == 62
+    assert len(numbers()) == 61 and numbers()[-2:] == [60, 61]
+    order = [r.title for r in plans.build_index(plans.clean_events(raw(spark, many))).orderBy("doc_ord").collect()]
+    assert order == [e[0] for e in many if e[5]]
+
+
+def test_answers_read_the_buckets_of_their_hits_only(spark, tmp_path):
+    path = f"{tmp_path}/index"
+    body = ["jazz", "musique", "théâtre", "danse", "cirque", "lecture"]
+    events = [(f"E{i}", "Paris", "Paris", "2026-08-01", None, f"{body[i % 6]} " * (i + 1)) for i in range(24)]
+    numbered = plans.clean_events(raw(spark, events)).withColumn("n", F.shiftleft(F.substring("title_fr", 2, 9).cast("long"), 14))
+    plans.rebuild_index(numbered, path, ord_col="n")  # a bucket for each event
+    index = sources.read_index(spark, path)
+    assert len(list((tmp_path / "index" / "segments").glob("segment=*/bucket=*"))) == 24
+    asked = questions(spark, ["théâtre théâtre le 1er août 2026", "quoi le 1er août 2026"])
+    answers = plans.retrieve(asked, index, k=2, topics={})
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        answers.explain("formatted")
+    filters = [x for x in plan.getvalue().splitlines() if "PartitionFilters" in x and "bucket" in x]
+    assert filters and any("dynamicpruning" in x for x in filters)
+    rows = {r.qid: r for r in answers.collect()}
+    plain = {r.qid: r for r in plans.retrieve(asked, plans.build_index(numbered, "n").cache(), k=2, topics={}).collect()}
+    assert rows == plain and all(rows.values())
+    shown = {r.title for r in plans.search(asked, index, 1).collect()}
+    assert shown <= {e[0] for e in events}
+
+
+def test_search_labels_missing_values(spark):
+    events = raw(spark, [("Jazz", None, "Paris", None, None, "jazz")]).withColumn("title_fr", F.lit(None).cast("string"))
+    row = plans.search(questions(spark, ["jazz"]), plans.build_index(plans.clean_events(events)).cache()).first()
+    assert (row.title, row.city, row.date_start) == ("Titre inconnu", "Ville inconnue", "Date inconnue")
+
+
+def test_streams_free_their_scratch_tables(spark, tmp_path):
+    scratch = scratch_dir(spark)
+    path = f"{tmp_path}/index"
+    plans.rebuild_index(plans.clean_events(raw(spark)), path)
+    questions(spark, QUESTIONS).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("qid long, question string, as_of date").parquet(f"{tmp_path}/in")
+    folder = pathlib.Path(scratch.removeprefix("file:"))
+    before = set(folder.iterdir())
+    stream_answers(stream, path, f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
+    refresh_batch(raw(spark, [SWING]), path, "s/5")
+    assert set(folder.iterdir()) == before and spark.read.parquet(f"{tmp_path}/out/answers").count() == 4
+    with pytest.raises(ValueError, match="stop"), scratch_scope(spark) as own:
+        kept = materialize(spark.range(3), "t")
+        with scratch_scope(spark) as inner:
+            assert inner.startswith(own) and materialize(spark.range(2), "t").count() == 2
+        assert kept.count() == 3
+        raise ValueError("stop")
+    assert set(folder.iterdir()) == before

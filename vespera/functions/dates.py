@@ -77,7 +77,8 @@ def long_date(c) -> Column:
 
 
 def try_timestamp(c) -> Column:
-    return c.try_cast("timestamp")
+    """Moment of a text with date, time and offset, or of a date alone, also in basic form; NULL for anything else."""
+    return F.coalesce(c.try_cast("timestamp"), F.try_to_timestamp(c, F.lit("yyyyMMdd")))
 
 
 def month_year(c) -> Column:

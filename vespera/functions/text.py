@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fixed_values import (
-    CONTEXT_LABELS,
+    CONTEXT_BLOCK,
     EXCERPT_CHARS,
     UNKNOWN_CITY,
     UNKNOWN_DATE,
@@ -92,16 +92,34 @@ def date_phrase(start, end) -> Column:
     )
 
 
+def fill_template(template: str, values: dict[str, Column]) -> Column:
+    """Fill the ``{name}`` placeholders of a template known before planning, any number of times each.
+
+    The template is cut at its placeholders first, so braces inside the values are never read as placeholders.
+    """
+    pieces: list[Column | str] = [template]
+    for name, value in values.items():
+        cut: list[Column | str] = []
+        for piece in pieces:
+            if isinstance(piece, str):
+                for i, text in enumerate(piece.split("{" + name + "}")):
+                    cut.extend([text] if i == 0 else [value, text])
+            else:
+                cut.append(piece)
+        pieces = cut
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces])
+
+
 def context_block(title, city, department, start, end, body) -> Column:
     """One event as shown to the answering model."""
-    values = [
-        F.coalesce(title, F.lit(UNKNOWN_TITLE)),
-        F.coalesce(city, F.lit(UNKNOWN_CITY)),
-        F.coalesce(department, F.lit("")),
-        date_phrase(start, end),
-        strip(F.coalesce(body, F.lit(""))),
-    ]
-    return F.concat(*[piece for label, value in zip(CONTEXT_LABELS, values) for piece in (F.lit(label), value)])
+    values = {
+        "title": F.coalesce(title, F.lit(UNKNOWN_TITLE)),
+        "city": F.coalesce(city, F.lit(UNKNOWN_CITY)),
+        "department": F.coalesce(department, F.lit("")),
+        "date": date_phrase(start, end),
+        "text": strip(F.coalesce(body, F.lit(""))),
+    }
+    return fill_template(CONTEXT_BLOCK, values)
 
 
 # Wording of the instructions is a parameter of assemble_prompt; this is the library's own default.
@@ -124,19 +142,5 @@ Réponse :
 
 
 def assemble_prompt(date_text, context, question, template: str = DEFAULT_PROMPT) -> Column:
-    """Fill ``{date_du_jour}``, ``{context}`` and ``{question}`` of a template known before planning.
-
-    The template is cut at its placeholders first, so braces inside the values are never read as placeholders.
-    """
-    values = {"{date_du_jour}": date_text, "{context}": context, "{question}": question}
-    pieces: list[Column | str] = [template]
-    for name, value in values.items():
-        cut: list[Column | str] = []
-        for piece in pieces:
-            if isinstance(piece, str):
-                for i, text in enumerate(piece.split(name)):
-                    cut.extend([text] if i == 0 else [value, text])
-            else:
-                cut.append(piece)
-        pieces = cut
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces])
+    """Fill ``{date_du_jour}``, ``{context}`` and ``{question}`` of a template."""
+    return fill_template(template, {"date_du_jour": date_text, "context": context, "question": question})

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import EVENT_COLUMNS, METADATA_NAMES
 from ..functions.text import event_text, is_missing, missing_to_null, strip, strip_basic_html
-
-# Input order as one number: 20 bits of partition, 23 bits of row, leaving 20 bits for the chunk (see chunk.py).
-_ROW_BITS = 23
+from ..session import materialize
 
 
 def scope_events(events: DataFrame, city: str = "Paris", since: str = "2025-07-12") -> DataFrame:
@@ -61,30 +61,47 @@ def usable_text(rows: DataFrame, column: str = "text_to_embed") -> DataFrame:
     return rows.where(~is_missing(F.col(column))).withColumn(column, strip(F.col(column)))
 
 
-def file_ordinal() -> Column:
-    """Increasing number in input order (not consecutive); raises rather than running out of bits."""
-    position = F.monotonically_increasing_id()
-    partition = F.shiftright(position, 33)
-    row = position.bitwiseAND(F.lit(2**33 - 1))
-    fits = (partition < 2**20) & (row < 2**_ROW_BITS)
-    return F.when(fits, F.shiftleft(partition, _ROW_BITS) + row).otherwise(
-        F.raise_error(F.lit("too many rows per partition for doc_ord"))
-    )
+def with_ordinals(rows: DataFrame, name: str = "doc_ord", first: int = 0) -> DataFrame:
+    """Add consecutive numbers from ``first`` in input order.
 
+    Rows are written once with their partition and place; a prefix sum over the partitions' counts, one row each, gives
+    where each partition starts. No row is moved.
+    """
+    place = F.monotonically_increasing_id()
+    placed = rows.withColumns({"_part": F.shiftright(place, 33), "_row": place.bitwiseAND(F.lit(2**33 - 1))})
+    placed = materialize(placed, "placed")
+    counts = sorted(placed.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    starts = list(zip([r["_part"] for r in counts], accumulate((r["n"] for r in counts), initial=first)))
+    starts = rows.sparkSession.createDataFrame(starts, "_part bigint, _start bigint")
+    number = (F.col("_start") + F.col("_row")).alias(name)
+    return placed.join(F.broadcast(starts), "_part").select(number, *rows.columns)
 
-def to_documents(events: DataFrame, ord_col: str | None = None, first_ord: int = 0) -> DataFrame:
-    """``doc_ord, text`` and the renamed metadata of clean events with usable text.
 
-    ``ord_col`` names a unique integer that gives the order of the documents; without it the input order is used.
-    Numbers start at ``first_ord``.
-    """
-    order = (F.col(ord_col).cast("bigint") if ord_col else file_ordinal()) + F.lit(first_ord)
-    numbered = events.withColumn("doc_ord", order)
+def _metadata(events: DataFrame) -> list[Column]:
+    """The renamed metadata columns; missing values and missing columns are NULL."""
 
-    def metadata(source: str) -> Column:
+    def value(source: str) -> Column:
         if source not in events.columns:
             return F.lit(None).cast("string")
         return missing_to_null(F.col(source).cast("string"))
 
-    columns = [metadata(source).alias(name) for source, name in METADATA_NAMES.items()]
-    return usable_text(numbered).select("doc_ord", F.col("text_to_embed").alias("text"), *columns)
+    return [value(source).alias(name) for source, name in METADATA_NAMES.items()]
+
+
+def event_metadata(events: DataFrame) -> DataFrame:
+    """The metadata of events as documents carry it, also for events that make no document."""
+    return events.select(*_metadata(events))
+
+
+def to_documents(events: DataFrame, ord_col: str | None = None, first_ord: int = 0) -> DataFrame:
+    """``doc_ord, text`` and the renamed metadata of clean events with usable text.
+
+    ``ord_col`` names a unique integer that gives the order of the documents; without it documents are numbered
+    consecutively in input order. Numbers start at ``first_ord``.
+    """
+    usable = usable_text(events)
+    if ord_col is None:
+        usable = usable.select(F.col("text_to_embed").alias("text"), *_metadata(events))
+        return with_ordinals(usable, "doc_ord", first_ord)
+    order = F.col(ord_col).cast("bigint") + F.lit(first_ord)
+    return usable.select(order.alias("doc_ord"), F.col("text_to_embed").alias("text"), *_metadata(events))

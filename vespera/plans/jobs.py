@@ -16,11 +16,14 @@ from ..functions.fixed_values import (
     DEPARTMENTS,
     EVENTS_PER_ANSWER,
     TOPICS,
+    UNKNOWN_CITY,
+    UNKNOWN_START,
+    UNKNOWN_TITLE,
 )
 from ..functions.scoring import classify
 from ..functions.text import DEFAULT_PROMPT, assemble_prompt, excerpt, searchable_text, strip
 from ..functions.topics import match_topics
-from ..operators.chunk import chunk_text, with_chunk_id
+from ..operators.chunk import bucket_of, chunk_text, with_chunk_id
 from ..operators.clean import compose_text, drop_missing, prune_columns, strip_html, to_documents
 from ..operators.constraints import FACETS, apply_constraints, first_events, first_matches, with_facets
 from ..operators.context import answer_rows
@@ -33,6 +36,8 @@ from ..sources.index import write_index
 from ..sources.tables import read_clean_csv, require_rows
 
 _ASKED = ["as_of", "asked_city", "asked_department", "asked_start", "asked_end", "asked_topics"]
+# Of so many buckets, the search looks through one first.
+FIRST_PART = 16
 _SHOWN = ["chunk_id", "text", "title", "city", "department", "date_start", "date_end"]
 
 
@@ -57,10 +62,9 @@ def index_documents(
     of chunk ids, in order, so that its statistics tell readers what they can skip. How many there are is Spark's
     choice by size: ``spark.sql.shuffle.partitions`` at most, merged to the advisory size.
     """
-    documents = with_facets(documents)
-    if by_range:
+    if by_range:  # before the facets: working out the ranges runs all that comes before once more
         documents = documents.repartitionByRange("doc_ord").sortWithinPartitions("doc_ord")
-    chunks = with_chunk_id(chunk_text(documents, size, overlap))
+    chunks = with_chunk_id(chunk_text(with_facets(documents), size, overlap))
     searched = chunks.withColumn("_searched", searchable_text(F.col("text"), F.col("title")))
     with_topics = searched.withColumn("topics", match_topics(F.col("_searched"), topics)).drop("_searched")
     return embed(with_topics, "text", embedder, dim)
@@ -99,31 +103,56 @@ def retrieve(
     never before: they may leave one or two events, and then there is no fallback.
 
     Vectors are read only by the search, texts only for the final events; in between travel ids and filter columns.
-    Each step that is used twice is written to shared storage first.
+    Hits carry the bucket of documents that they lie in, by which a stored index is partitioned: while there are few,
+    Spark reads the files of their buckets only, for filters and texts alike. Each step that is used twice is written to
+    shared storage first.
     """
     parsed = parse_questions(questions, as_of, topics, cities, departments)
     asked = materialize(embed(parsed, "question", embedder, dim), "questions")
     plain = asked.drop("embedding")
-    nearest = materialize(knn(asked, index, k), "nearest")
-    candidates = nearest.join(index.select(*FACETS), "chunk_id").join(plain.select("qid", *_ASKED), "qid")
-    found = first_events(apply_constraints(candidates), top).select("qid", "chunk_id", "rank")
+    nearest = materialize(_with_bucket(knn(asked, index, k, first=_first_part(index))), "nearest")
+    # Spark looks for a filter on the side that prunes; this one holds for every row.
+    candidates = nearest.where(F.col("rank") <= k).join(index.select("bucket", *FACETS), ["bucket", "chunk_id"])
+    candidates = candidates.join(plain.select("qid", *_ASKED), "qid")
+    found = first_events(apply_constraints(candidates), top).select("qid", "chunk_id", "bucket", "rank")
     found = materialize(found.withColumn("used_fallback", F.lit(False)), "found")
     missed = plain.join(found, "qid", "left_anti")
     hits = found
     if not missed.isEmpty():
-        extra = first_matches(materialize(missed, "missed"), index, top)
+        extra = _with_bucket(first_matches(materialize(missed, "missed"), index, top))
         hits = materialize(found.unionByName(extra.withColumn("used_fallback", F.lit(True))), "hits")
-    answers = answer_rows(plain, hits.join(index.select(*_SHOWN), "chunk_id"))
+    shown = hits.where(F.col("rank") <= top).join(index.select("bucket", *_SHOWN), ["bucket", "chunk_id"])
+    answers = answer_rows(plain, shown)
     prompt = assemble_prompt(long_date(F.col("as_of")), F.col("context"), F.col("question"), template)
     return answers.withColumn("prompt", prompt)
 
 
+def _with_bucket(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("bucket", bucket_of(F.col("chunk_id")))
+
+
+def _first_part(index: DataFrame) -> Column | None:
+    """Every sixteenth bucket, if there are that many: what the search looks through first."""
+    last = index.agg(F.max("bucket")).first()[0]
+    return F.col("bucket") % FIRST_PART == 0 if last is not None and last >= FIRST_PART else None
+
+
 def search(questions: DataFrame, index: DataFrame, k: int = 3, embedder: Embedder | None = None, dim: int = HASH_DIM) -> DataFrame:
-    """Plain nearest chunks per question with title, city, start and the first characters of the text."""
+    """Plain nearest chunks per question with title, city, start and the first characters of the text.
+
+    Values that an event lacks are shown by the labels for unknown ones.
+    """
     asked = materialize(embed(questions.select("qid", "question"), "question", embedder, dim), "search")
-    nearest = materialize(knn(asked, index, k), "nearest")
-    shown = index.select("chunk_id", "title", "city", "date_start", excerpt(F.col("text")).alias("excerpt"))
-    return nearest.join(shown, "chunk_id")
+    nearest = materialize(_with_bucket(knn(asked, index, k, first=_first_part(index))), "nearest")
+    shown = index.select(
+        "bucket",
+        "chunk_id",
+        F.coalesce("title", F.lit(UNKNOWN_TITLE)).alias("title"),
+        F.coalesce("city", F.lit(UNKNOWN_CITY)).alias("city"),
+        F.coalesce("date_start", F.lit(UNKNOWN_START)).alias("date_start"),
+        excerpt(F.col("text")).alias("excerpt"),
+    )
+    return nearest.where(F.col("rank") <= k).join(shown, ["bucket", "chunk_id"]).drop("bucket")
 
 
 def evaluation_samples(test_set: DataFrame, answers: DataFrame, max_samples: int | None = None) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +23,9 @@ SETTINGS = {
 }
 
 
+_SCOPE: ContextVar[str | None] = ContextVar("vespera_scratch_scope", default=None)
+
+
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     """Apply the library's settings to a session builder."""
     for key, value in SETTINGS.items():
@@ -42,14 +48,38 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_SCOPE.get() or scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> bool:
+    """Delete a folder with all it holds, wherever Spark's file systems reach; False if there is none."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """Free the intermediate tables that a job writes, once its result has been consumed.
+
+    Everything that ``materialize`` and ``scratch_path`` give inside the block lies in one folder, which is deleted when
+    the block is left, also by an error. Jobs return lazy results that still read these tables: write or collect them
+    inside. Blocks may be nested; an inner one frees only its own. Outside of any block tables stay until the cluster
+    clears its folder.
+    """
+    path = f"{_SCOPE.get() or scratch_dir(spark)}/job-{uuid.uuid4().hex}"
+    outer = _SCOPE.set(path)
+    try:
+        yield path
+    finally:
+        _SCOPE.reset(outer)
+        delete_folder(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result once and read it back.
 
     Cuts the lineage, survives the loss of executors, and gives later joins the real size, so that Spark broadcasts
-    the table only when it is under ``spark.sql.autoBroadcastJoinThreshold``.
+    the table only when it is under ``spark.sql.autoBroadcastJoinThreshold``. ``scratch_scope`` frees it.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)

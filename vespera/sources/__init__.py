@@ -1,6 +1,6 @@
 """Readers and writers."""
 
-from .index import read_index, read_log, write_index
+from .index import compact_index, drop_replaced, read_index, read_log, write_index
 from .pages import EVENT_SCHEMA, read_event_pages
 from .tables import (
     CLEAN_SCHEMA,
@@ -15,6 +15,8 @@ from .tables import (
 __all__ = [
     "CLEAN_SCHEMA",
     "EVENT_SCHEMA",
+    "compact_index",
+    "drop_replaced",
     "read_clean_csv",
     "read_event_pages",
     "read_index",
