@@ -11,6 +11,7 @@ from vespera import functions as fn
 from vespera import operators as op
 from vespera import plans, sources
 from vespera.functions.text import DEFAULT_PROMPT
+from vespera.operators.constraints import FACETS
 from vespera.session import materialize, scratch_path
 from vespera.streaming import stream_answers, stream_event_pages, stream_index
 
@@ -112,6 +113,60 @@ def index_round_trip(spark, sf_dir):
     return stored.drop("doc_ord", "embedding", "event_key", "bucket")
 
 
+_LONG = "case when doc_id % 3 > 0 then concat('Long : ', text) end"
+
+
+def _text_sql(null: str, description: str) -> str:
+    title, city, department, start, end = (
+        f"coalesce({c}, '{null}')" for c in ("title_fr", "location_city", "location_department", "firstdate_begin", "lastdate_end")
+    )
+    return f"""'Titre: ' || {title} || chr(10) || 'Lieu: ' || {city} || ' (' || {department} || ')' || chr(10)
+        || 'Date: du ' || {start} || ' au ' || {end} || chr(10) || 'Description: ' || coalesce({description}, '{null}')"""
+
+
+@query(
+    f"""with {o.EVENTS}, given as (select r.*, {_LONG} as long from raw_events r join documents using (doc_id))
+    select doc_id, 'absent' as variant, {_text_sql('None', 'description_fr')} as text_to_embed from given
+    union all select doc_id, 'given', {_text_sql('None', 'long')} from given
+    union all select doc_id, 'by row', {_text_sql('?', 'coalesce(long, description_fr)')} from given"""
+)
+def compose_text(spark, sf_dir):
+    """The long description as a column that is not there, one with gaps, and one whose gaps the short one fills."""
+    events = raw_events(spark, sf_dir)
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.expr(_LONG).alias("longdescription_fr"))
+    given = events.join(texts, "doc_id")
+    variants = {
+        "absent": op.compose_text(events),
+        "given": op.compose_text(given),
+        "by row": op.compose_text(given, null_text="?", row_fallback=True),
+    }
+    parts = [df.select("doc_id", F.lit(name).alias("variant"), "text_to_embed") for name, df in variants.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+_REQUIRED = {
+    "documents": ["doc_id", "text"],
+    "benchmark": ["question", "reference"],
+    "conversations": ["conv_id", "turn", "answer"],
+}
+
+
+@query(
+    """select 'documents' as name, case when count(*) = 0 then 'the documents is empty' end as problem from documents
+    union all select 'benchmark', 'missing columns: question, reference'
+    union all select 'conversations', 'missing columns: answer'
+    union all select 'nobody', case when count(*) = 0 then 'the table is empty' end from labels where doc_id < 0
+    union all select 'labelled', case when count(*) = 0 then 'the table is empty' end from labels where doc_id >= 0"""
+)
+def input_checks(spark, sf_dir):
+    """Required columns and rows of the given tables; some lack them."""
+    found = [(name, sources.table_problem(table(spark, sf_dir, name), columns, name)) for name, columns in _REQUIRED.items()]
+    labels = table(spark, sf_dir, "labels")
+    found.append(("nobody", sources.table_problem(labels.where("doc_id < 0"), ["doc_id"])))
+    found.append(("labelled", sources.table_problem(labels.where("doc_id >= 0"), ["doc_id"])))
+    return spark.createDataFrame(found, "name string, problem string")
+
+
 @query("select page_id, replace(replace(replace(html, '<p>', ''), '</p>', ''), '<br>', chr(10)) as html from pages")
 def strip_html(spark, sf_dir):
     return op.strip_html(table(spark, sf_dir, "pages").select("page_id", "html"), "html")
@@ -316,7 +371,8 @@ def dedup_first(spark, sf_dir):
 def first_matches(spark, sf_dir):
     """The full-scan path on its own, for every question."""
     asked = materialize(op.parse_questions(questions(spark, sf_dir), topics=TOPICS), "asked")
-    return op.first_matches(asked, _index(spark, sf_dir))
+    chunks = materialize(_index(spark, sf_dir).select("bucket", *FACETS), "facets")
+    return op.first_matches(asked, chunks)
 
 
 _RETRIEVE = f"""with recursive {o.INDEX}, {o.QUESTIONS}, {o.PARSED},
@@ -375,16 +431,12 @@ def search(spark, sf_dir):
 
 
 def _hits(spark, sf_dir):
-    """First three documents of every source, as the events kept for one question per source."""
-    documents = _documents(spark, sf_dir).join(
-        table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_ord"), "source"), "doc_ord"
-    )
-    return op.first_events(documents.withColumn("qid", F.substring("source", 4, 9).cast("bigint")), 3, "doc_ord")
+    """Every document, as the events kept for a question of five documents each."""
+    group, place = F.floor(F.col("doc_ord") / 5).alias("qid"), (F.col("doc_ord") % 5 + 1).alias("rank")
+    return _documents(spark, sf_dir).select("*", group, place)
 
 
-_HITS = f"""with {o.EVENTS}, {o.CLEAN}, {o.DOCS}, hits as (select docs.*, cast(substr(source, 4) as bigint) as qid,
-    row_number() over (partition by source order by doc_ord) as rank from docs join documents on doc_id = doc_ord
-    qualify rank <= 3)"""
+_HITS = f"with {o.EVENTS}, {o.CLEAN}, {o.DOCS}, hits as (select *, doc_ord // 5 as qid, doc_ord % 5 + 1 as rank from docs)"
 
 
 @query(f"{_HITS} select qid, {o.CONTEXT} as context from hits group by qid")
@@ -397,10 +449,15 @@ def project_sources(spark, sf_dir):
     return _sources_text(op.project_sources(_hits(spark, sf_dir)))
 
 
-@query(f"{_HITS} select qid, string_agg(text, ' || ' order by rank) as contexts from hits group by qid")
+@query(
+    f"""{_HITS} select qid, string_agg(case when doc_ord % 7 > 0 then text
+      else trim(coalesce(title, '') || ' - ' || coalesce(city, ''), ' -') end, ' || ' order by rank) as contexts
+    from hits group by qid"""
+)
 def retrieved_contexts(spark, sf_dir):
-    contexts = op.retrieved_contexts(_hits(spark, sf_dir))
-    return contexts.withColumn("contexts", F.array_join("contexts", " || "))
+    """Every seventh event has no text and is shown by title and city."""
+    hits = _hits(spark, sf_dir).withColumn("text", F.when(F.col("doc_ord") % 7 > 0, F.col("text")))
+    return op.retrieved_contexts(hits).withColumn("contexts", F.array_join("contexts", " || "))
 
 
 # --- Metrics --------------------------------------------------------------------------------------------------------
@@ -426,14 +483,15 @@ def faithfulness(spark, sf_dir):
 
 @query(
     f"""{_HITS}, kept as (select qid, text, row_number() over (partition by qid order by rank) as rank from hits),
-    given as (select cast(substr(source, 4) as bigint) as qid, row_number() over (partition by source order by doc_id) as rank,
-      quality from labels join documents using (doc_id))
+    given as (select doc_id // 5 as qid, row_number() over (partition by doc_id // 5 order by doc_id) as rank, quality
+      from labels join documents using (doc_id))
     select qid, rank::int as rank, text as context, quality as relevant from kept left join given using (qid, rank)"""
 )
 def judged_contexts(spark, sf_dir):
-    """The three contexts of one question per source beside the first three verdicts of that source."""
-    verdicts = context_verdicts(spark, sf_dir)
-    ranked = op.first_events(verdicts.withColumnRenamed("rank", "doc_id"), 3, "doc_id")
+    """The contexts of every question beside the verdicts on documents of its group, in their order."""
+    group = F.floor(F.col("rank") / 5).alias("qid")
+    verdicts = context_verdicts(spark, sf_dir).select(group, F.col("rank").alias("doc_id"), "relevant")
+    ranked = op.first_events(verdicts, 5, "doc_id")  # groups have five documents at most
     return op.judged_contexts(op.retrieved_contexts(_hits(spark, sf_dir)), ranked)
 
 
@@ -475,14 +533,15 @@ def metric_means(spark, sf_dir):
 
 
 @query(
-    f"""with {_VERDICTS}, {_PRECISION}, {_FAITH} select qid, reference, round(faithfulness, 9) as faithfulness,
+    f"""with {o.EVENTS}, {o.CLEAN}, {o.DOCS}, {_VERDICTS}, {_PRECISION}, {_FAITH} select qid, reference, round(faithfulness, 9) as faithfulness,
     round(context_precision, 9) as context_precision, case
       when faithfulness >= 0.8 and context_precision >= 0.3 then 'correcte'
-      when faithfulness >= 0.5 then 'partiellement correcte' else 'incorrecte' end as classification
+      when faithfulness >= 0.5 then 'partiellement correcte' else 'incorrecte' end as classification,
+      (select count(*) from docs where doc_ord // 5 = qid)::int as n_contexts
     from (select item_id as qid, {o.strip('text')} as reference from benchmark) left join faith_by using (qid) left join precision_by using (qid)"""
 )
 def evaluate(spark, sf_dir):
-    """Benchmark items as the annotated set, source groups as its answers."""
+    """Benchmark items as the annotated set, groups of documents as its answers."""
     test_set = table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("qid"), F.col("text").alias("question"), F.col("text").alias("reference")
     )
@@ -497,28 +556,37 @@ def evaluate(spark, sf_dir):
         F.round("faithfulness", 9).alias("faithfulness"),
         F.round("context_precision", 9).alias("context_precision"),
         "classification",
+        F.size("contexts").alias("n_contexts"),
     )
 
 
 @query(
-    f"""select item_id as qid, {o.strip('text')} as question, {o.strip('text')} as reference from benchmark
-    order by item_id limit 5"""
+    f"""select item_id as qid, {o.strip('text')} as question, {o.strip('text')} as reference,
+    {o.strip('text')} as ground_truth, case when item_id % 3 > 0 then '-' end as answer,
+    case when item_id % 3 > 0 then text else '' end as contexts from benchmark"""
 )
 def evaluation_samples(spark, sf_dir):
-    """The first five rows of the annotated set: the default sample of an evaluation."""
+    """The whole annotated set; every third question has got no answer."""
     items = table(spark, sf_dir, "benchmark")
     test_set = items.select(F.col("item_id").alias("qid"), F.col("text").alias("question"), F.col("text").alias("reference"))
-    answers = items.select(F.col("item_id").alias("qid"), F.lit("-").alias("answer"), F.array("text").alias("contexts"))
-    return plans.evaluation_samples(test_set, answers, 5).select("qid", "question", "reference")
+    answered = items.where("item_id % 3 > 0")
+    answers = answered.select(F.col("item_id").alias("qid"), F.lit("-").alias("answer"), F.array("text").alias("contexts"))
+    return plans.evaluation_samples(test_set, answers).withColumn("contexts", F.array_join("contexts", " || "))
 
 
-@query(f"with {_JUDGED} select qid, context_precision, not no_context as has_context, classification from classified")
+@query(
+    f"""with {_JUDGED} select qid, context_precision, case when lang = 'de' then 'n/a' when lang = 'es' then 'NaN'
+      else (n_chars % 101 / 100.0)::double::varchar end as faithfulness, case when quality = 1 then text else '' end as contexts,
+    case when lang = 'fr' then 'Oui. ' when lang = 'en' then 'Le système Doit Retrouver ' else '' end || text as reference,
+    classification from classified join documents on doc_id = qid join labels using (doc_id)"""
+)
 def scores_round_trip(spark, sf_dir):
     path = scratch_path(spark, "scores-csv")
     sources.write_scores(plans.add_classification(judged(spark, sf_dir)), path, "csv")
     schema = "qid bigint, faithfulness string, context_precision double, contexts string, reference string, classification string"
-    back = spark.read.schema(schema).options(header=True, multiLine=True, escape='"').csv(path)
-    return back.select("qid", "context_precision", (F.col("contexts") != "[]").alias("has_context"), "classification")
+    back = sources.read_clean_csv(spark, path, spark.createDataFrame([], schema).schema)
+    contexts = F.array_join(F.from_json("contexts", "array<string>"), " || ")
+    return back.withColumn("contexts", contexts)
 
 
 # --- Corpus counts --------------------------------------------------------------------------------------------------

@@ -122,6 +122,11 @@ def context_block(title, city, department, start, end, body) -> Column:
     return fill_template(CONTEXT_BLOCK, values)
 
 
+def title_and_city(title, city) -> Column:
+    """``title - city`` without blanks and hyphens at the ends; what stands for an event that has no text."""
+    return F.btrim(F.concat(F.coalesce(title, F.lit("")), F.lit(" - "), F.coalesce(city, F.lit(""))), F.lit(" -"))
+
+
 # Wording of the instructions is a parameter of assemble_prompt; this is the library's own default.
 DEFAULT_PROMPT = """Tu réponds aux questions sur l'agenda culturel. Date du jour : {date_du_jour}.
 

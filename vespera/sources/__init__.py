@@ -8,6 +8,7 @@ from .tables import (
     read_test_set,
     require_columns,
     require_rows,
+    table_problem,
     write_events,
     write_scores,
 )
@@ -24,6 +25,7 @@ __all__ = [
     "read_test_set",
     "require_columns",
     "require_rows",
+    "table_problem",
     "write_events",
     "write_index",
     "write_scores",

@@ -54,6 +54,15 @@ def require_rows(df: DataFrame, what: str = "table") -> DataFrame:
     return df
 
 
+def table_problem(df: DataFrame, columns: Iterable[str] = (), what: str = "table") -> str | None:
+    """What makes a table unusable as input, as text: columns it lacks, or that it has no rows; None if nothing does."""
+    try:
+        require_rows(require_columns(df, columns), what)
+    except ValueError as e:
+        return str(e)
+    return None
+
+
 def _write(df: DataFrame, path: str, fmt: str) -> None:
     writer = df.write.mode("overwrite")
     if fmt == "csv":
