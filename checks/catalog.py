@@ -244,7 +244,7 @@ def match_topics(spark, sf_dir):
 )
 def hash_vector(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    vectors = op.embed(documents.repartition(spark.sparkContext.defaultParallelism))
+    vectors = op.embed(documents.repartition("doc_id"))  # the given file is one row group, read in one task
     slots = vectors.select("doc_id", F.posexplode(F.coalesce("embedding", F.array())).alias("slot", "weight")).where(F.col("weight") != 0)
     return slots.select(
         "doc_id", F.col("slot").cast("bigint").alias("slot"), F.round(F.col("weight").cast("double"), 6).alias("weight")
@@ -306,6 +306,24 @@ def parse_questions(spark, sf_dir):
     return parsed.withColumn("asked_topics", F.nullif(F.array_join("asked_topics", ","), F.lit("")))
 
 
+_NAMES = """names as (select phrase, upper(left(phrase, 1)) || substr(phrase, 2) as label, row_number() over (order by phrase) as place
+    from (select distinct lower(substr(text, 1, 5)) as phrase from conversations where role = 'assistant'))"""
+
+
+@query(
+    f"""with {o.QUESTIONS}, {_NAMES}, met as (select qid, place, label from questions join names on contains(lower(question), phrase))
+    select qid, arg_min(label, place) as asked_city, string_agg(label, ',' order by place) as asked_topics
+    from questions left join met using (qid) group by qid"""
+)
+def parse_with_tables(spark, sf_dir):
+    """Cities and topics from a table: how every answer begins stands for a name, and questions are searched for all."""
+    begins = table(spark, sf_dir, "conversations").where("role = 'assistant'").select(F.lower(F.substring("text", 1, 5)).alias("phrase"))
+    label = F.concat(F.upper(F.left("phrase", F.lit(1))), F.substring("phrase", 2, 99))
+    names = op.with_ordinals(begins.distinct().orderBy("phrase").select("phrase", label.alias("label")), "place", 1)
+    parsed = op.parse_questions(questions(spark, sf_dir), topics=names, cities=names)
+    return parsed.select("qid", "asked_city", F.nullif(F.array_join("asked_topics", ","), F.lit("")).alias("asked_topics"))
+
+
 _HEAD, _REST = DEFAULT_PROMPT.split("{date_du_jour}")
 _MIDDLE, _REST = _REST.split("{context}")
 _JOIN, _TAIL = _REST.split("{question}")

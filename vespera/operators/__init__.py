@@ -9,10 +9,12 @@ from .clean import (
     strip_html,
     to_documents,
     usable_text,
+    with_ordinals,
 )
 from .constraints import apply_constraints, dedup_first, first_events, first_matches, with_facets
 from .context import answer_rows, context_text, project_sources, retrieved_contexts
 from .embed import embed
+from .gazetteer import with_first_label, with_labels
 from .knn import knn, top_k
 from .metrics import class_summary, context_precision, faithfulness, judged_contexts, metric_means, running_totals
 from .profile import events_by_month, top_arrondissements, top_groups
@@ -52,4 +54,7 @@ __all__ = [
     "window_chunks",
     "with_chunk_id",
     "with_facets",
+    "with_first_label",
+    "with_labels",
+    "with_ordinals",
 ]
