@@ -8,20 +8,46 @@ cut there and its pieces looked up. Any other text, and one that holds a special
 from __future__ import annotations
 
 import os
+import re
 from array import array
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from .common import kept_by_worker
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Pieces and their word parts that a worker remembers, under 200 bytes each. A worker that meets more starts afresh,
-#: which costs time and changes no result.
-PIECES, CORES = 400_000, 1_200_000
+#: Pieces in each of the two generations that a worker remembers, under 250 bytes each: 100 MB at most. A full younger
+#: generation becomes the older one; pieces met again come back from it, those not met since are encoded anew.
+PIECES = 200_000
 _PUNCTUATION = ".,;:!?#$%&*|"
+#: White space other than spaces and line feeds.
+_OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Letters up to here are letters in any version of Unicode that a library may follow.
+_LAST_LETTER = "\u024f"
+
+
+class _Pieces(dict):
+    """Ids of pieces in bytes, worked out when a piece is first asked for."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn, self.old = learn, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.learn(piece)
+        if len(self) >= PIECES:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
 
 
 class PieceEncoder:
-    """``encode(texts)``: ids of each text as little-endian unsigned 32-bit integers in bytes."""
+    """``encode(texts)``: ids of each text as little-endian unsigned 32-bit integers in bytes.
+
+    A piece is what stands between single spaces; one that starts a line keeps its line feed, all others stand for
+    themselves with a space before.
+    """
 
     def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -33,70 +59,84 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = special_as_text
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain = self._is_byte_level()
-        self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.known = _Pieces(self._learn)
 
     def _is_byte_level(self) -> bool:
         import json
 
         spec = json.loads(self.tokenizer.to_str())
         pre = spec["pre_tokenizer"] or {}
-        return (
+        if not (
             spec["normalizer"] is None
             and pre.get("type") == "ByteLevel"
             and not pre["add_prefix_space"]
             and pre["use_regex"]
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
-        )
+        ):
+            return False
+        # The character that the pre-tokenizer writes for each byte, as the library itself shows it.
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        shown = {b: split(chr(b))[0][0] for b in range(128)} | {0xC0 + (n >> 6): split(chr(n))[0][0][0] for n in range(0x80, 0x250)}
+        shown |= {0x80 + (n & 63): split(chr(n))[0][0][1] for n in range(0x80, 0x250)}
+        self.bytes = shown
+        return True
 
     def _whole(self, texts: Sequence[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Visible characters after a letter and punctuation marks after them never share a token with it."""
-        new = pieces - self.known.keys()
-        if len(self.known) + len(new) > PIECES:
-            self.known.clear()
-            new = pieces
-        if len(self.cores) > CORES:
-            self.cores.clear()
-        ends: dict[str, tuple[str, str]] = {}
-        for p in new:
-            core = p.rstrip(_PUNCTUATION)
-            ends[p] = (core, p[len(core) :]) if core and core[-1].isalpha() else (p, "")
-        wanted = {core for core, _ in ends.values()} | {"\0" + end for _, end in ends.values() if end}
-        wanted = [w for w in wanted if w not in self.cores]
-        for at in range(0, len(wanted), 20_000):
-            part = wanted[at : at + 20_000]
-            texts = [w[1:] if w[0] == "\0" else w if w[0] == "\n" else " " + w for w in part]
-            self.cores.update(zip(part, self._whole(texts), strict=True))
-        cores = self.cores
-        for p, (core, end) in ends.items():
-            self.known[p] = cores[core] + cores["\0" + end] if end else cores[core]
+    def _word(self, word: str) -> bytes:
+        """Ids of letters, perhaps after a space: one piece for the pre-tokenizer too, so the model can have it at once."""
+        shown = word.encode().decode("latin-1").translate(self.bytes)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+
+    def _learn(self, piece: str) -> bytes:
+        if piece[0] == "\n":
+            rest = piece[1:]
+            if rest.isalpha() and max(rest) <= _LAST_LETTER:
+                return self.known["\0\n"] + self._word(rest)
+            return self._whole([piece])[0]
+        if piece[0] == "\0":
+            return self._whole([piece[1:]])[0]
+        if piece.isalpha() and max(piece) <= _LAST_LETTER:
+            return self._word(" " + piece)
+        # Punctuation marks after a letter never share a token with it.
+        core = piece.rstrip(_PUNCTUATION)
+        if core and core != piece and core[-1].isalpha():
+            return self.known[core] + self.known["\0" + piece[len(core) :]]
+        return self._whole([" " + piece])[0]
+
+    def _cut(self, text: str) -> bool:
+        """Whether the text may be cut: no white space but single spaces and line feeds, inside; no special token."""
+        return not (
+            text[0] in " \n"
+            or text[-1] in " \n"
+            or "  " in text
+            or " \n" in text
+            or "\n " in text
+            or "\n\n" in text
+            or "\0" in text
+            or _OTHER_SPACE.search(text)
+            or any(s in text for s in self.special)
+        )
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        pieces: set[str] = set()
+        out: list[bytes] = []
+        late: list[int] = []
+        ids = self.known.__getitem__
         for t in texts:
             if not t:
-                cut.append([])
-            elif (
-                self.plain
-                and "\0" not in t
-                and t.split() == t.replace("\n", " ").split(" ")  # no other white space, and none of it doubled or at an end
-                and not any(s in t for s in self.special)
-            ):
+                out.append(b"")
+            elif self.plain and self._cut(t):
                 parts = t.replace("\n", " \n").split(" ")
                 parts[0] = "\n" + parts[0]
-                pieces.update(parts)
-                cut.append(parts)
+                out.append(b"".join(map(ids, parts))[4:])
             else:
-                cut.append(None)
-        self._learn(pieces)
-        whole = iter(self._whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        known = self.known
-        return [next(whole) if c is None else b"".join(map(known.__getitem__, c))[4 if c else 0 :] for c in cut]
+                late.append(len(out))
+                out.append(b"")
+        for i, found in zip(late, self._whole([texts[i] for i in late]), strict=True):
+            out[i] = found
+        return out
 
 
 def encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
