@@ -144,6 +144,45 @@ def test_packing_places_each_id_once(docs, none, target):
     assert packing.pack(none, tokenizer_path()).count() == 0
 
 
+def placed_once(got, length):
+    at = collections.defaultdict(list)
+    for r in got:
+        at[r.sequence_id].append((r.offset, r.length))
+    for part in at.values():
+        end = 0
+        for offset, n in sorted(part):
+            assert offset == end
+            end += n
+        assert end == length or end & (end - 1) == 0
+    done = collections.Counter()
+    for r in got:
+        done[r.doc_id] += r.length
+    assert done == {r.doc_id: r.doc_tokens for r in got}
+
+
+@pytest.mark.parametrize(("sources", "length", "queues"), [(30, 4, 1000), (30, 1, 1000), (200, 16, 20), (2000, 64, 1000)])
+def test_packing_of_many_equal_sources_loses_nothing(spark, monkeypatch, sources, length, queues):
+    monkeypatch.setattr(packing, "QUEUES", queues)
+    rows_ = [(i, "one two " * (1 + i // sources % 3), f"s{i % sources:04}", 0) for i in range(max(2 * sources, 90))]
+    table = spark.createDataFrame(rows_, "doc_id long, text string, source string, start int").repartition(3)
+    got = packing.pack(table, tokenizer_path(), length=length).collect()
+    assert len({r.doc_id for r in got}) == len(rows_)
+    placed_once(got, length)
+
+
+def test_packing_serves_a_small_source_that_the_target_names(spark, monkeypatch):
+    monkeypatch.setattr(packing, "QUEUES", 3)
+    rows_ = [(i, "word " * 100, f"big{i % 4}") for i in range(60)] + [(900 + i, "word " * 20, "small") for i in range(4)]
+    table = spark.createDataFrame(rows_, "doc_id long, text string, source string")
+    got = packing.pack(table, tokenizer_path(), length=64, target={"small": 1.0, "big0": 1.0}).collect()
+    placed_once(got, 64)
+    first = collections.Counter()
+    for r in got:
+        if r.sequence_id < 2:
+            first[r.source] += r.length
+    assert abs(first["small"] - 64) <= 2 and abs(first["big0"] - 64) <= 2
+
+
 def direct_fingerprint(text):
     words = (text or "").encode().lower().split()
     grams = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []

@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from .common import materialize, scratch_path, smaller_batches
 from .tokens import encoder
 
-#: Sources with a queue of their own; the smaller ones share the last queue, in the order of their documents.
+#: Sources with a queue of their own beside those that the caller's target names; the smaller ones share the last queue,
+#: in the order of their documents. A window could not hold a share of more of them anyway.
 QUEUES = 1000
+#: Windows whose edges are worked out together, and bytes of edges that a worker keeps.
+EDGE_WINDOWS, EDGE_BYTES = 256, 64 << 20
 
 _TOKENS = pa.schema(
     [
@@ -81,7 +84,7 @@ class RoundRobin:
         return before + np.clip(missing - ahead, 0, extra)
 
     def about(self, tokens: np.ndarray, queues: np.ndarray) -> np.ndarray:
-        """For each (queue, token), a window that is its own or next to it."""
+        """For each (queue, token), a window near its own: tokens due at the same time may lie in several windows."""
         rank = self.served((tokens + 1) / self.weights[queues])
         return np.clip(rank - 1, 0, max(0, self.total - 1)) // self.length
 
@@ -145,6 +148,8 @@ def pack(
 
     sums = parts.groupBy("queue").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "queue")
     sizes = {r.queue: r.n for r in sums.limit(QUEUES).collect()}
+    if target:
+        sizes |= {r.queue: r.n for r in sums.where(F.col("queue").isin(list(target))).collect()}
     total = parts.agg(F.sum("n")).first()[0] or 0
     rest = total - sum(sizes.values())
     # Queue names become "s" + source; a null source is "n", all sources beyond the largest ones are "r".
@@ -176,11 +181,11 @@ def pack(
 
         def edges(first: int, last: int) -> np.ndarray:
             """closing() of windows first - 1 to last, as one array per call; column 0 is what came before."""
-            block = 256
+            block = EDGE_WINDOWS
             parts = []
             for b in range(first // block, last // block + 1):
                 if b not in cache:
-                    if len(cache) > 512:
+                    if len(cache) * len(plan.names) * 8 * block > EDGE_BYTES:
                         cache.clear()
                     w = np.arange(b * block - 1, (b + 1) * block)
                     got = plan.closing(np.maximum(w, 0))
@@ -198,13 +203,19 @@ def pack(
             queues, sizes_, firsts = batch["q"].to_pylist(), batch["n"].to_pylist(), batch["first"].to_pylist()
             own_queues = np.array([position[q] for q in queues], "i8")
             starts = np.array(firsts, "i8")
-            low = np.maximum(plan.about(starts, own_queues) - 1, 0)
-            high = np.minimum(plan.about(starts + np.array(sizes_, "i8") - 1, own_queues) + 1, windows - 1)
+            low = plan.about(starts, own_queues)
+            high = plan.about(starts + np.array(sizes_, "i8") - 1, own_queues)
             for i, raw in enumerate(batch["ids"].to_pylist()):
                 n, first, q, w0, w1 = sizes_[i], firsts[i], int(own_queues[i]), int(low[i]), int(high[i])
                 wide = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
                 grid = edges(w0, w1)
+                wider = 1
+                while grid[q][0] > first or grid[q][-1] < first + n:
+                    w0 = max(0, w0 - wider) if grid[q][0] > first else w0
+                    w1 = min(windows - 1, w1 + wider) if grid[q][-1] < first + n else w1
+                    grid, wider = edges(w0, w1), 2 * wider
                 mine = grid[q]
+                cut_off = 0
                 ahead = (grid[:q, 1:] - grid[:q, :-1]).sum(axis=0)
                 for k, w in enumerate(range(w0, w1 + 1)):
                     a, b = max(first, int(mine[k])), min(first + n, int(mine[k + 1]))
@@ -228,6 +239,9 @@ def pack(
                         out["sequence_id"].append(sequence)
                         out["offset"].append(place)
                         out["source"].append(sources[i])
+                        cut_off += d - c
+                if cut_off != n:
+                    raise AssertionError(f"document {docs_[i]} has {n} tokens, {cut_off} of them placed")
             yield pa.RecordBatch.from_pydict(out, schema=_piece_schema())
 
     return placed.mapInArrow(cut, _PIECES)
