@@ -310,6 +310,48 @@ def test_quality_orders_grades_and_keeps_good(spark, docs, none):
     assert ordinal.select_good(docs, nothing).count() == len(rows())
 
 
+def test_quality_fit_comes_as_low_as_plain_descent(spark):
+    """The penalised likelihood of the fit, against many small steps down its numeric gradient from other starts."""
+    rng = np.random.default_rng(4)
+    rows_ = []
+    for i in range(60):
+        grade = i % 3
+        words = rng.choice(12, size=6, p=np.roll(np.linspace(0.2, 1, 12) / np.linspace(0.2, 1, 12).sum(), 3 * grade))
+        rows_.append((grade, np.unique(words).astype("i8")))
+    ridge = 0.01
+    y = np.array([g for g, _ in rows_])
+    x = np.zeros((60, 12))
+    for i, (_, f) in enumerate(rows_):
+        x[i, f] = 1
+    often = x.sum(axis=0) >= ordinal.SUPPORT
+    weight = np.sqrt(60 / np.bincount(y, minlength=3))[y]
+    weight = weight / weight.sum()
+
+    def loss(v, t):
+        z, edges = x @ (v * often), np.concatenate([[-60.0], t, [60.0]])
+        cdf = lambda e: 1 / (1 + np.exp(-(e - z)))
+        return -(weight * np.log(np.maximum(cdf(edges[y + 1]) - cdf(edges[y]), 1e-12))).sum() + ridge / 2 * (v * often) @ v
+
+    got = ordinal.fit(rows_, 3, rounds=600, ridge=ridge)
+    mine = loss(got.weights[:12], got.thresholds)
+    best = np.inf
+    for seed in range(3):
+        theta = np.random.default_rng(seed).normal(0, 0.3, 14)
+        theta[12:] = [-1, 1]
+        for _ in range(4000):
+            up = np.array([loss((theta + e)[:12], np.sort((theta + e)[12:])) for e in np.eye(14) * 1e-5])
+            theta = theta - 0.5 * (up - loss(theta[:12], np.sort(theta[12:]))) / 1e-5
+        best = min(best, loss(theta[:12], np.sort(theta[12:])))
+    assert mine <= best * 1.005 + 1e-6
+    texts = ["", None, "a b a", "c " * 9000]
+    table = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, tails string")
+    scored = {r.doc_id: r for r in ordinal.score(table, got).collect()}
+    for i, t in enumerate(texts):
+        z = got.weights.astype("f4")[ordinal.features(t)].sum(dtype="f8")
+        tails = [1 / (1 + math.exp(c - z)) for c in got.thresholds]
+        assert scored[i].tails == pytest.approx(tails, rel=1e-5) and scored[i].expected_grade == pytest.approx(sum(tails), rel=1e-5)
+
+
 def test_quality_fits_one_row_per_rated_id(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(ordinal, "fit", lambda rows, grades: seen.append(rows))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import smaller_batches
+from .common import materialize, smaller_batches
 
 #: Hash buckets, labelled rows a fit takes at most, and labelled rows a feature must occur in to get a weight.
 BUCKETS, LABELLED, SUPPORT = 1 << 20, 20_000, 4
@@ -109,7 +109,8 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, most: int = LABELLED
     rated = rated.where(f"doc_id is not null and grade between 0 and {grades - 1}").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     there = rated.join(text.select("doc_id"), "doc_id", "left_semi")
-    chosen = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    # Written, so that Spark knows how few these are and broadcasts them: no text is moved to find its rating.
+    chosen = materialize(there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "rated")
     one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "grade")).alias("one")
     texts = text.join(chosen, "doc_id").groupBy("doc_id").agg(one).select("doc_id", "one.text", "one.grade")
 
