@@ -438,6 +438,30 @@ def test_nearest_vectors(vectors, cell):
     assert ann.nearest(vectors.where("false"), vectors).count() == 0
 
 
+@pytest.mark.parametrize("cell", [8192, 256])
+def test_search_stops_by_its_test_before_all_is_verified(spark, cell):
+    """On given vectors, which all lie about as far apart, and on groups of near ones, where the test saves most."""
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((40, 32))
+    grouped = [(i, (centres[i % 40] + 0.1 * rng.standard_normal(32)).tolist()) for i in range(1600)]
+    grouped = spark.createDataFrame(grouped, "vec_id long, embedding array<double>")
+    for table, most in ((given, 0.9), (grouped, 0.2)):
+        rows_ = table.collect()
+        ids, x = np.array([r.vec_id for r in rows_]), np.array([r.embedding for r in rows_])
+        got = ann.nearest(table, table.where("vec_id % 20 = 0"), k=20, cell=cell).collect()
+        found, verified = collections.defaultdict(set), {}
+        for r in got:
+            found[r.query_id].add(r.vec_id)
+            verified[r.query_id] = r.verified
+        hits = 0
+        for q, mine in found.items():
+            order = [i for i in np.lexsort((ids, -(x @ x[ids == q][0]))) if ids[i] != q][:20]
+            hits += len(mine & set(ids[order].tolist()))
+        assert hits >= 0.9 * 20 * len(found)
+        assert 20 * len(found) < sum(verified.values()) < most * len(rows_) * len(found)
+
+
 def test_chi_square_quantile():
     draws = (np.random.default_rng(0).standard_normal((200_000, ann.DIMS)) ** 2).sum(axis=1)
     assert abs((draws < ann.chi_square_quantile(0.99)).mean() - 0.99) < 0.002

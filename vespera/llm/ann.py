@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from .common import materialize, smaller_batches
 from .vectors import matrix, usable
 
-#: Projected dimensions, chance with which a neighbour may be missed, vectors per tree leaf.
-DIMS, MISS, LEAF = 8, 0.01, 64
+#: Projected dimensions, chance with which a neighbour may be missed, vectors per tree leaf, and vectors that are verified
+#: between two looks at the stopping test.
+DIMS, MISS, LEAF, STEP = 16, 0.03, 64, 16
 #: Vectors in a cell of the shared tree, cells at most, rows that the cells are fitted on, queries per task and cell.
 CELL, CELLS, SAMPLE, QUERIES = 8192, 4096, 65_536, 4096
 
+_FOUND = "q long, vec_id long, score double, seen long"
+
 
 def chi_square_quantile(p: float, dims: int = DIMS) -> float:
     """The value that a chi-square variable of an even number of dimensions stays under with chance ``p``."""
@@ -84,7 +87,7 @@ def _gap(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, miss: float = MISS, cell: int = CELL) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row of queries(vec_id, embedding) its ``k`` largest inner products.
+    """(query_id, rank, vec_id, score, verified): for each row of queries(vec_id, embedding) its ``k`` largest inner products.
 
     vectors(vec_id, embedding); a query's own vec_id is no candidate. score is the inner product in double precision;
     ties go to the smaller vec_id. Rows with a null vec_id and unusable vectors (null, empty, zero, null or non-finite
@@ -95,9 +98,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, miss: float = M
     distance. Gaussian projections of a difference with squared length d are d times a chi-square variable. Cells of a
     kd-tree over the projections, fitted on at most ``SAMPLE`` rows, are the partitions of the index; all rows are
     indexed. A query first searches its own cell, which bounds the distance of its k-th neighbour, then those cells that
-    the stopping test does not rule out under this bound. Within a cell, leaves are verified in the order of their
-    projected distance until the test holds for the next one: a nearer vector would lie that far away in the projection
-    with chance ``miss`` at most. Equal vectors are searched as one, with as many ids as can matter (k + 1).
+    the stopping test does not rule out under this bound. Within a cell, leaves are opened in the order of their boxes and
+    vectors verified one after the other in the order of their own projected distance, until the test holds for the next
+    one: a nearer vector would lie that far away in the projection with chance ``miss`` at most. ``verified`` counts the
+    different vectors whose inner product with the query was worked out; it says how much the test has saved. Equal
+    vectors are searched as one, with as many ids as can matter (k + 1).
     """
     stop = chi_square_quantile(1 - miss)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -109,7 +114,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, miss: float = M
     points = materialize(points, "points")
     length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     shape = points.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max(length).alias("top")).first()
-    empty = "query_id long, rank int, vec_id long, score double"
+    empty = "query_id long, rank int, vec_id long, score double, verified long"
     if not shape.n:
         return vectors.sparkSession.createDataFrame([], empty)
     n, dim, top = shape.n, shape.dim, shape.top
@@ -189,7 +194,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, miss: float = M
     def search(wanted: DataFrame) -> DataFrame:
         per_cell = {r[0]: r[1] for r in wanted.groupBy("cell").agg(F.count("*")).collect()}
         if not per_cell:
-            return vectors.sparkSession.createDataFrame([], "q long, vec_id long, score double")
+            return vectors.sparkSession.createDataFrame([], _FOUND)
         shares = F.create_map(*[F.lit(x) for c, m in per_cell.items() for x in (int(c), max(1, -(-m // QUERIES)))])
         split = F.create_map(*[F.lit(x) for c in per_cell for x in (int(c), parts[int(c)])])
         side = wanted.withColumn("share", F.pmod(F.xxhash64("q"), shares[F.col("cell")]).cast("int"))
@@ -200,11 +205,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, miss: float = M
 
         def run(data: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
             if not len(data) or not len(wanted):
-                return pd.DataFrame({"q": [], "vec_id": [], "score": []}).astype({"q": "i8", "vec_id": "i8"})
+                return pd.DataFrame({"q": [], "vec_id": [], "score": [], "seen": []}).astype({"q": "i8", "vec_id": "i8", "seen": "i8"})
             return _search(data, wanted, k, stop, top)
 
         keys = ["cell", "part", "share"]
-        return data.groupBy(*keys).cogroup(side.groupBy(*keys)).applyInPandas(run, "q long, vec_id long, score double")
+        return data.groupBy(*keys).cogroup(side.groupBy(*keys)).applyInPandas(run, _FOUND)
 
     near = materialize(search(routed(None)), "near")
     last = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
@@ -212,50 +217,68 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, miss: float = M
     norm = goals.select("q", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x).alias("qq"))
     bounds = kth.join(norm, "q").select("q", (2 * top - 2 * F.col("score") * F.sqrt(top / F.col("qq"))).alias("bound"))
     bounds = bounds.select("q", F.greatest("bound", F.lit(0.0)).alias("bound"))
-    found = near.union(search(routed(bounds)))
-    best = found.withColumn("r", F.row_number().over(last)).where(F.col("r") <= k + 1).drop("r")
-    padded = materialize(best, "best")
+    found = materialize(near.union(search(routed(bounds))), "found")
+    best = found.withColumn("r", F.row_number().over(last)).where(F.col("r") <= k + 1).select("q", "vec_id", "score")
+    padded = materialize(best.join(found.groupBy("q").agg(F.sum("seen").alias("verified")), "q"), "best")
     same = asked.join(distinct, "v").select("query_id", "q")
     ranked = same.join(padded, "q").where("vec_id <> query_id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return ranked.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return ranked.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "verified")
 
 
 def _search(data: pd.DataFrame, wanted: pd.DataFrame, k: int, stop: float, top: float) -> pd.DataFrame:
+    """The k + 1 nearest of each query in one part of a cell; ``seen``, on a query's first row, counts what it verified."""
     v, p = np.stack(data["v"].to_numpy()), np.stack(data["p"].to_numpy())
     tree = Tree(p, LEAF)
-    v = v[tree.order]
+    v, p = v[tree.order], p[tree.order]
     ids = data["ids"].to_numpy()[tree.order]
     many = np.array([len(x) for x in ids])
     ends = np.array([b for _, b in tree.bounds])
     starts = np.array([a for a, _ in tree.bounds])
-    gaps = _gap(np.stack(wanted["p"].to_numpy()), tree.low, tree.high)
+    points = np.stack(wanted["p"].to_numpy())
+    gaps = _gap(points, tree.low, tree.high)
     bounds = wanted["bound"].to_numpy(dtype="f8", na_value=np.nan)
-    out_q, out_id, out_score = [], [], []
+    slack = 1e-9 * top
+    out_q, out_id, out_score, out_seen = [], [], [], []
     for row, (q, x) in enumerate(zip(wanted["q"], wanted["v"])):
         order = np.argsort(gaps[row], kind="stable")
-        gap = gaps[row][order]
+        gap = np.append(gaps[row][order], np.inf)
         scale = math.sqrt(top / float(x @ x))
         limit = bounds[row] if bounds[row] == bounds[row] else math.inf
-        spots, scores = np.zeros(0, "i8"), np.zeros(0)
-        at, step = 0, 2
-        while at < len(order):
-            # The test: every leaf from here on lies so far away that no nearer neighbour is to be expected.
-            if gap[at] > stop * limit + 1e-9 * top:
+        spots, scores, seen = np.zeros(0, "i8"), np.zeros(0), 0
+        pool, far = np.zeros(0, "i8"), np.zeros(0)  # vectors of opened leaves, by projected distance
+        at, step = 0, 1
+        while True:
+            # Those nearer than the next leaf come before all that is not opened yet.
+            ready = int(np.searchsorted(far, gap[at], "right"))
+            done = 0
+            while done < ready and far[done] <= stop * limit + slack:
+                new = pool[done : min(done + STEP, ready)]
+                done += len(new)
+                spots, scores = np.concatenate([spots, new]), np.concatenate([scores, v[new] @ x])
+                if len(spots) > k + 1:
+                    cut = np.partition(scores, len(scores) - (k + 1))[len(scores) - (k + 1)]  # ties with it stay
+                    spots, scores = spots[scores >= cut], scores[scores >= cut]
+                if many[spots].sum() > k:
+                    best = np.argsort(-scores, kind="stable")
+                    kth = scores[best][np.searchsorted(np.cumsum(many[spots][best]), k + 1)]
+                    limit = min(limit, max(0.0, 2 * top - 2 * kth * scale))
+            seen += done
+            # The test: what comes next lies so far away that no nearer neighbour is to be expected.
+            following = min(far[done] if done < len(far) else np.inf, gap[at])
+            if following == np.inf or following > stop * limit + slack:
                 break
             leaves = order[at : at + step]
-            new = np.concatenate([np.arange(starts[i], ends[i]) for i in leaves])
-            spots, scores = np.concatenate([spots, new]), np.concatenate([scores, v[new] @ x])
-            at, step = at + step, step * 2
-            if len(spots) > k + 1:
-                cut = np.partition(scores, len(scores) - (k + 1))[len(scores) - (k + 1)]  # ties with it stay
-                spots, scores = spots[scores >= cut], scores[scores >= cut]
-            if many[spots].sum() > k:
-                best = np.argsort(-scores, kind="stable")
-                kth = scores[best][np.searchsorted(np.cumsum(many[spots][best]), k + 1)]
-                limit = min(limit, max(0.0, 2 * top - 2 * kth * scale))
+            more = np.concatenate([np.arange(starts[i], ends[i]) for i in leaves])
+            away = ((p[more] - points[row]) ** 2).sum(axis=1)
+            pool, far = np.concatenate([pool[done:], more]), np.concatenate([far[done:], away])
+            by = np.argsort(far, kind="stable")
+            pool, far = pool[by], far[by]
+            at, step = min(at + step, len(order)), step * 2
         pairs = sorted((-float(s), int(i)) for spot, s in zip(spots, scores) for i in ids[spot])[: k + 1]
         out_q += [q] * len(pairs)
         out_id += [i for _, i in pairs]
         out_score += [-s for s, _ in pairs]
-    return pd.DataFrame({"q": np.array(out_q, "i8"), "vec_id": np.array(out_id, "i8"), "score": np.array(out_score, "f8")})
+        out_seen += [seen, *[0] * (len(pairs) - 1)] if pairs else []
+    columns = {"q": (out_q, "i8"), "vec_id": (out_id, "i8"), "score": (out_score, "f8"), "seen": (out_seen, "i8")}
+    return pd.DataFrame({name: np.array(values, kind) for name, (values, kind) in columns.items()})
