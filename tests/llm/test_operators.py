@@ -288,6 +288,21 @@ def test_repeated_passages(docs, none):
     assert suffixes.repeated_passages(none).count() == 0 and suffixes.without_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_first_document_of_a_passage_does_not_depend_on_tasks(spark, parts):
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randrange(3000)}"
+    one, two = " ".join(word() for _ in range(120)), " ".join(word() for _ in range(70))
+    texts = {i: one for i in range(3, 40)} | {50 + i: f"{word()} {word()} {two} {word()} {word()}" for i in range(30)}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartitionByRange(parts, F.hash("doc_id"))
+    got = suffixes.repeated_passages(table).collect()
+    assert {r.doc_id: (r.start, r.end, r.first_doc_id) for r in got} == (
+        {i: (0, 120, 3) for i in range(4, 40)} | {i: (2, 72, 50) for i in range(51, 80)}
+    )
+    nobody = table.union(spark.createDataFrame([(None, one)], table.schema)).repartition(parts, F.hash("text", "doc_id"))
+    assert {r.first_doc_id for r in suffixes.repeated_passages(nobody).where("doc_id < 40").collect()} == {None}
+
+
 def test_quality_orders_grades_and_keeps_good(spark, docs, none):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))

@@ -93,13 +93,14 @@ def _documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def repeated_passages(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
+def repeated_passages(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM, with_first: bool = True) -> DataFrame:
     """(doc_id, copy, start, end, first_doc_id): stretches of words that stand earlier, in the order of doc_id and place.
 
     Word positions count from 0, ``end`` is exclusive. Every run of ``passage`` words that equals a run in an earlier
     document, or earlier in the same document without overlap, lies in a returned stretch, and each stretch consists of
-    such runs; first_doc_id is the smallest document that one of them was found in. The first occurrence is never
-    returned. ``copy`` is a hash of the text: rows with equal doc_id and text count as one document. Null and short
+    such runs; first_doc_id is the smallest document of those that the stretch's suffixes and runs were found equal to,
+    in whichever tasks they were met (without ``with_first``, which saves a join, any of them). The first occurrence is
+    never returned. ``copy`` is a hash of the text: rows with equal doc_id and text count as one document. Null and short
     texts have no passages; a null doc_id comes before all others. docs(doc_id, text); other columns are not read.
 
     Hot passages cost a row per task and document, never a group: each task first compares the suffixes that it made
@@ -155,6 +156,8 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM)
     compared = compared.withColumn("mixed", mixed).where(~here.eqNullSafe(F.col("first")) | F.col("mixed"))
     compared = materialize(
         compared.select(
+            "head",
+            "stretch",
             "doc_id",
             "copy",
             "lo",
@@ -202,12 +205,16 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM)
     late = spots.where("not known").withColumn("first", F.first(F.struct(*place)).over(by_hash))
     own = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.copy") == F.col("copy"))
     late = late.where(~F.struct(*place).eqNullSafe(F.col("first")) & ~(own & (F.col("start") - F.col("first.start") < passage)))
+    settled, spotted = records.where("known"), spots.where("known")
+    if with_first:  # what a task has settled by itself may have occurred before in another one
+        settled = _with_first(settled, compared.where("known"), ["head", "stretch"], F.col("first_doc"))
+        spotted = _with_first(spotted, late, ["hash"], F.col("first.doc_id"))
     span = lambda df, a, b, first: df.select("doc_id", "copy", F.struct(F.expr(a).alias("a"), F.expr(b).alias("b"), F.expr(first).alias("f")).alias("s"))  # noqa: E501, E731
     whole = f"hi + {passage}"
     spans = (
-        span(records.where("known"), "lo", whole, "first_doc")
+        span(settled, "lo", whole, "first_doc")
         .union(span(compared.where("known"), "lo", whole, "first_doc"))
-        .union(span(spots.where("known"), "start", f"start + {passage}", "first_doc"))
+        .union(span(spotted, "start", f"start + {passage}", "first_doc"))
         .union(span(late, "start", f"start + {passage}", "first.doc_id"))
     )
     by_doc = spans.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_set("s")).alias("s"))  # a document's words at most
@@ -235,6 +242,14 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM)
     return by_doc.mapInArrow(merged, "doc_id long, copy long, start int, end int, first_doc_id long")
 
 
+def _with_first(settled: DataFrame, late: DataFrame, key: list[str], first: Column) -> DataFrame:
+    """``settled`` with the first document of its key over all tasks, where ``late`` knows an earlier one."""
+    least = F.min(F.struct(first.isNotNull().alias("known"), first.alias("doc"))).alias("least")
+    earlier = late.groupBy(*key).agg(least).select(*key, F.lit(True).alias("earlier"), F.col("least.doc").alias("doc"))
+    joined = settled.join(materialize(earlier, "earlier"), key, "left")
+    return joined.withColumn("first_doc", F.when(F.col("earlier"), F.col("doc")).otherwise(F.col("first_doc")))
+
+
 def _settled(
     head: np.ndarray, stretch: np.ndarray, batch: pa.RecordBatch, at: np.ndarray, place: np.ndarray, passage: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,7 +272,7 @@ def without_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -
     Other columns stay as they are, but an n_chars column is set anew where the text was cut. White space around a cut
     stays. Rows with equal doc_id and text are cut alike.
     """
-    found = repeated_passages(docs, passage, gram)
+    found = repeated_passages(docs, passage, gram, with_first=False)
     found = found.groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans")
     )
