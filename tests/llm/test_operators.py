@@ -502,6 +502,16 @@ def test_vector_duplicates(vectors, monkeypatch, block):
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got.values())
 
 
+def test_empty_tables_give_empty_results(spark, none, tmp_path):
+    vectors = spark.createDataFrame([], VECTORS)
+    assert embed_dedup.near_duplicate_vectors(vectors, 0.98).count() == 0
+    path = f"{tmp_path}/flat"
+    separators.write_flat(none, path, tokenizer_path(), 50256)
+    blocks = spark.read.schema(separators.FILE).parquet(path)
+    assert separators.named(separators.scan_separators(blocks, 50256), blocks).count() == 0
+    assert ordinal.score(none, ordinal.train(none, none.selectExpr("doc_id", "1 as grade"), grades=3)).count() == 0
+
+
 def test_components_of_chains_stars_and_nothing(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(3, 3), (160, 7)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
