@@ -62,10 +62,12 @@ def scope_events(spark, sf_dir):
 
 
 def _write_pages(spark, sf_dir, path, size=100):
-    """Store the events as API pages: one JSON object per file."""
+    """Store the events as API pages: one JSON object per file, and an empty page at the end."""
     events = raw_events(spark, sf_dir).withColumn("page", F.floor(F.col("doc_id") / size))
     record = F.struct(*[c for c in events.columns if c not in ("doc_id", "page")])
     pages = events.groupBy("page").agg(F.collect_list(record).alias("results"))  # at most `size` records by the id
+    last = pages.agg((F.max("page") + 1).alias("page")).withColumn("results", F.array().cast(pages.schema["results"].dataType))
+    pages = pages.unionByName(last)
     pages.repartition("page").write.partitionBy("page").json(path)
 
 
@@ -73,7 +75,7 @@ def _write_pages(spark, sf_dir, path, size=100):
 def read_event_pages(spark, sf_dir):
     path = scratch_path(spark, "pages")
     _write_pages(spark, sf_dir, path)
-    pages = sources.read_event_pages(spark, path, page_pattern=r"page=(\d+)/")
+    pages = sources.read_event_pages(spark, path, page_size=100, page_pattern=r"page=(\d+)/")
     return op.prune_columns(pages).drop("longdescription_fr")
 
 
