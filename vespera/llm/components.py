@@ -29,8 +29,10 @@ def _small_star(e: DataFrame) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every id in ``links``; component is the smallest id reachable. Ids are longs, not null.
 
-    Each round shortens every path about by half. Rounds end when the pairs stay the same, each round is a written
-    table, and no node's links are ever gathered in one task. No links give an empty result.
+    Each round shortens every path about by half. Rounds end when the pairs stay the same, and each round is a written
+    table. Least neighbours are aggregated before they are shuffled; to learn its node's least neighbour, though, every
+    link goes to the task of that node, so a hub's links stream through one task, which sorts and spills but holds none
+    of them. No links give an empty result.
     """
     e = materialize(distinct_rows_of(links, a, b), "links")
     mark = lambda t: t.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
