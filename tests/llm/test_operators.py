@@ -397,6 +397,18 @@ def test_mixed_scores(docs, none):
     assert mixing.score_texts(none).count() == 0
 
 
+def test_every_bit_of_a_code_is_mixed():
+    frequent = [b"w%d" % i for i in range(200)]
+    codes = mixing.Codes(frequent, np.arange(400, 200, -1), 1, 100, 14, np.zeros(200, "i8")).prepare()
+    texts = [[b"w199", b"w0", b"other"], [b"w57"]]
+    first, symbols = codes.bits_of(texts)[0], [[201, 2, 1, 0], [59, 0]]
+    bits = [codes.bits[codes.offsets[s] : codes.offsets[s + 1]] for text in symbols for s in text]
+    assert max(map(len, bits)) > 6 and first.bit.tolist() == np.concatenate(bits).tolist()
+    # Counts too large for the table of logarithms keep their ratio, in learning as in scoring.
+    odds, _ = mixing._odds(np.array([40_000, 3]), np.array([10_000, 12]))
+    assert abs(odds[0] - math.log(0.25)) < 0.01 and abs(odds[1] - math.log(12.3 / 3.3)) < 1e-5
+
+
 def test_mixing_learns_context():
     frequent, sizes = [b"a", b"b", b"c", b"d"], np.array([500, 500, 500, 500])
     codes = mixing.Codes(frequent, sizes, 1, 100, 14, np.zeros(4, "i8")).prepare()

@@ -4,9 +4,8 @@ A token is coded as a path of bits: frequent words have a code of their own (sho
 starts with the kind of document that they are found in most, told by the most frequent word there. Other have an escape and their letters up to the space that ends them. A bit is predicted from how it fell before in its
 place of the code, in that place after the latest of the ``COMMON`` most frequent words (or two letters), and behind the
 last word (or four letters). The predictors' log-odds are added with weights from a set that a gate chooses by how often the contexts have
-been seen; the sum is refined by how often such sums have come true. Behind the first ``LEVELS`` bits of a word's code,
-where few contexts have been seen twice, the first predictor stands alone. Bits of all tokens add up to the bits of the
-text.
+been seen; the sum is refined by how often such sums have come true. Every bit of every code is mixed; bits of all tokens
+add up to the bits of the text.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ from .common import materialize, smaller_batches
 #: training tokens); partial tables that are added up in one task.
 WORDS, SLOT_BITS, MERGED = 1 << 18, (14, 21), 32
 _SLAB = 1 << 16
-LEVELS, COMMON = 4, 64
+COMMON = 64
 _CONFIDENCE = np.searchsorted([1, 2, 3, 6, 20], np.arange(64), side="right").astype("u1")  # seen 0, 1, 2, 3.., 6.., 20..
 _LOGS = np.log(np.arange(4096) + 0.3).astype("f4")
 _GATES = 2 * 6 * 6
@@ -113,11 +112,6 @@ class Codes:
         self.letter_nodes = self.letter_nodes + np.int32(len(odds))
         self.odds = np.concatenate([odds, more]).astype("f4")
         self.sizes = np.diff(self.offsets)
-        # What the bits behind the first LEVELS cost, by the first predictor alone.
-        sign = np.where(self.bits == 1, -1.0, 1.0) * odds[self.nodes] if len(self.nodes) else np.zeros(0)
-        late = np.arange(len(self.nodes)) - np.repeat(self.offsets[:-1], self.sizes) >= LEVELS
-        of = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.deep = np.bincount(of, np.where(late, np.logaddexp(0, sign), 0) / np.log(2), len(self.sizes))
         return self
 
     @classmethod
@@ -127,8 +121,8 @@ class Codes:
         codes.__dict__.update(parts)
         return codes
 
-    def bits_of(self, docs: list[list[bytes]]) -> tuple[Bits, np.ndarray, list[np.ndarray]]:
-        """First bits of all codes with their document and contexts; bits of the rest by document; symbols."""
+    def bits_of(self, docs: list[list[bytes]]) -> tuple[Bits, list[np.ndarray]]:
+        """Bits of all codes with their document and contexts; symbols."""
         symbols = [np.fromiter(map(self.index.get, d, repeat(1)), "i4", len(d)) for d in docs]
         end = np.zeros(1, "i4")
         flat = np.concatenate([x for s in symbols for x in (s, end)])
@@ -140,9 +134,8 @@ class Codes:
         mark = np.maximum.accumulate(np.where((flat >= 2) & (flat < 2 + COMMON), place, -1))
         mark = np.concatenate([[-1], mark[:-1]])
         common = np.where(mark >= np.repeat(starts, sizes), flat[mark], 0)
-        first, size = self.offsets[flat], np.minimum(self.sizes[flat], LEVELS)
-        b = self._expand(first, size, self.nodes, self.bits, of, 0, _hash(common, 11), _hash(one, 12))
-        return b, np.bincount(of, self.deep[flat], len(docs)), symbols
+        first, size = self.offsets[flat], self.sizes[flat]
+        return self._expand(first, size, self.nodes, self.bits, of, 0, _hash(common, 11), _hash(one, 12)), symbols
 
     def letters_of(self, words: list[bytes]) -> Bits:
         """Bits of the spelling of each word, with the word's number as document."""
@@ -221,7 +214,10 @@ class Mixer:
 
 
 def _odds(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds and confidence class of counts."""
+    """Log-odds and confidence class of counts; only the ratio matters of counts beyond the table of logarithms."""
+    if max(n0.max(initial=0), n1.max(initial=0)) > 4095:
+        share = 4095 / np.maximum(np.maximum(n0, n1), 4095)
+        n0, n1 = (np.rint(n * share).astype("i4") for n in (n0, n1))
     return _LOGS.take(n1, mode="clip") - _LOGS.take(n0, mode="clip"), _CONFIDENCE.take(n0 + n1, mode="clip")
 
 
@@ -287,33 +283,38 @@ def kinds_of(tops: list[bytes], sizes: np.ndarray, least: float = 0.02) -> np.nd
 
 def learn_chunk(c: Codes, mixer: Mixer, tables: np.ndarray, gates: np.ndarray, chunk: list[list[bytes]]) -> float:
     """Predict some texts with what has been learned so far, then learn from them; returns their bits as predicted."""
-    words, deep, symbols = c.bits_of(chunk)
+    words, symbols = c.bits_of(chunk)
     rare = {w for d, s in zip(chunk, symbols) for w in map(d.__getitem__, np.flatnonzero(s == 1))}
-    cost = float(deep.sum())
+    cost = 0.0
     for b in (words, c.letters_of(sorted(rare))) if rare else (words,):
-        (near, sure_near), (far, sure_far) = (_odds(t[0][x], t[1][x]) for t, x in zip(tables, (b.near, b.far)))
+        (near, sure_near), (far, sure_far) = (_odds(*_counts(t, x)) for t, x in zip(tables, (b.near, b.far)))
         gate, inputs, p, cell, final = mixer.mix(b, near, far, sure_near, sure_far)
         cost -= float(np.log2(np.where(b.bit == 1, final, 1 - final)).sum())
         gates += mixer.learn(b.bit, gate, inputs, p, cell)
         for t, x in zip(tables, (b.near, b.far)):
-            np.add.at(t.reshape(-1), x + b.bit * np.intp(t.shape[1]), np.int32(1))  # equal types: the fast way
+            np.add.at(t.reshape(-1), x * np.intp(2) + b.bit, np.int32(1))  # equal types: the fast way
     return cost
 
 
+def _counts(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """How often 0 and 1 were seen in each of the slots, whose two counts lie side by side and are fetched as one."""
+    return table.reshape(-1).view("i8").take(slots).view("i4").reshape(-1, 2).T
+
+
 def _trained(docs: DataFrame, codes, size: int) -> DataFrame:  # noqa: ANN001
     """Each task's counts of context slots, mixing weights and refinement cells, as (slab, raw)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Codes.of(codes.value)
         mixer = Mixer(c.odds)
-        tables = np.zeros((2, 2, size), "i4")  # context, bit, slot
+        tables = np.zeros((2, size, 2), "i4")  # context, slot, bit
         gates = np.zeros(_GATES)
         texts = (t for batch in smaller_batches(batches) for t in batch["text"].to_pylist())
         for _, chunk in _chunks((0, _words(t)) for t in texts):
             learn_chunk(c, mixer, tables, gates, chunk)
         part = TaskContext.get().partitionId()
         parts = [(-1, np.concatenate([(mixer.weights * gates[:, None]).ravel(), gates, mixer.refined.ravel()]))]
-        parts += [(t * (size // step) + s, tables[t][:, s * step : (s + 1) * step].ravel()) for step in [min(size, _SLAB)] for t in (0, 1) for s in range(size // step)]
+        parts += [(t * (size // step) + s, tables[t][s * step : (s + 1) * step].T.ravel()) for step in [min(size, _SLAB)] for t in (0, 1) for s in range(size // step)]
         for slab, x in parts:
             raw = zlib.compress(x.astype("<f8" if slab < 0 else "<u4").tobytes(), 1)
             yield pa.RecordBatch.from_pydict({"slab": [slab], "part": [part], "raw": [raw]}, schema=_RAW)
@@ -390,10 +391,8 @@ def score_texts(docs: DataFrame, words: int = WORDS) -> DataFrame:
             refined = x[4 * _GATES :].reshape(-1, 2)
         else:
             n = np.frombuffer(zlib.decompress(r.raw), "<u4").reshape(2, -1).astype("i8")
-            # Only the ratio matters of counts beyond the table of logarithms.
-            n = n * (4095 / np.maximum(n.max(axis=0), 4095)) if n.max() > 4095 else n
             at = slice(r.slab * step, (r.slab + 1) * step)
-            odds[at], sure[at] = _odds(*np.rint(n).astype("i8"))
+            odds[at], sure[at] = _odds(*n)
     model = spark.sparkContext.broadcast((odds.astype("f2"), sure, weights, refined))
     known_log = np.log10((np.concatenate([[ends, 0], sizes]) + 0.1) / floor)
     fields = "doc_id long, held_out boolean, n_tokens long, known long, base double, bits double, bytes long, rest array<struct<word:binary,n:long>>"
@@ -414,9 +413,9 @@ def score_texts(docs: DataFrame, words: int = WORDS) -> DataFrame:
             out: dict[str, list] = {k: [] for k in ("n", "known", "base", "bits", "bytes", "rest")}
             rest_words, rest_counts = [], []
             for _, chunk in _chunks(enumerate(texts)):
-                words, deep, symbols = c.bits_of(chunk)
+                words, symbols = c.bits_of(chunk)
                 rest = [Counter(map(d.__getitem__, np.flatnonzero(s == 1))) for d, s in zip(chunk, symbols)]
-                cost = deep + bits_by(words, len(chunk))
+                cost = bits_by(words, len(chunk))
                 if rare := sorted(set().union(*rest)):
                     spelled = dict(zip(rare, bits_by(c.letters_of(rare), len(rare)).tolist()))
                     cost += np.array([sum(spelled[w] * k for w, k in r.items()) for r in rest])
