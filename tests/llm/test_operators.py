@@ -8,6 +8,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -465,6 +466,18 @@ def test_nearest_vectors(vectors, cell):
     assert ann.nearest(vectors.where("false"), vectors).count() == 0
 
 
+def test_search_looks_at_its_test_less_often_the_longer_it_goes_on(monkeypatch):
+    x = np.random.default_rng(6).standard_normal((4096, 8))
+    axes = np.random.default_rng(7).standard_normal((8, ann.DIMS))
+    data = pd.DataFrame({"ids": [[i] for i in range(len(x))], "v": list(x), "p": list(x @ axes)})
+    wanted = pd.DataFrame({"q": [0], "v": [x[0]], "p": [x[0] @ axes], "bound": [None]})
+    looks, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda *a: looks.append(1) or partition(*a))
+    found = ann._search(data, wanted, 20, 1e9, float((x * x).sum(axis=1).max()))  # a test that never holds
+    assert found["seen"].sum() == len(x) and len(looks) < 40
+    assert sorted(found["vec_id"]) == sorted(np.argsort(-(x @ x[0]))[:21])
+
+
 @pytest.mark.parametrize("cell", [8192, 256])
 def test_search_stops_by_its_test_before_all_is_verified(spark, cell):
     """On given vectors, which all lie about as far apart, and on groups of near ones, where the test saves most."""
