@@ -542,3 +542,12 @@ def test_components_of_chains_stars_and_nothing(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert set(got.values()) == {7} and 3 not in got
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_words_of_ascii_letters_need_no_translation():
+    encoder = PieceEncoder(tokenizer_path())
+    texts = ["plain words,\nof letters été naïve straße", "Zeile\nnächste x9 ɐ word.", "\0 a  b"]
+    want = [np.array(x.ids, "<u4").tobytes() for x in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert PieceEncoder(tokenizer_path()).encode(texts) == want
+    encoder.bytes = {b: c for b, c in encoder.bytes.items() if not (b < 128 and chr(b).isalpha())} | {ord("w"): "?"}
+    assert encoder.encode(texts[::2]) == want[::2]

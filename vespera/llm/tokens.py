@@ -25,6 +25,10 @@ _OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\
 _LAST_LETTER = "\u024f"
 
 
+def _is_word(piece: str) -> bool:
+    return piece.isalpha() and (piece.isascii() or max(piece) <= _LAST_LETTER)
+
+
 class _Pieces(dict):
     """Ids of pieces in bytes, worked out when a piece is first asked for."""
 
@@ -60,6 +64,7 @@ class PieceEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain = self._is_byte_level()
         self.known = _Pieces(self._learn)
+        self.model = self.tokenizer.model
 
     def _is_byte_level(self) -> bool:
         import json
@@ -79,27 +84,28 @@ class PieceEncoder:
         shown = {b: split(chr(b))[0][0] for b in range(128)} | {0xC0 + (n >> 6): split(chr(n))[0][0][0] for n in range(0x80, 0x250)}
         shown |= {0x80 + (n & 63): split(chr(n))[0][0][1] for n in range(0x80, 0x250)}
         self.bytes = shown
-        return True
+        self.space = shown[32]
+        return all(shown[b] == chr(b) for b in range(128) if chr(b).isalpha())
 
     def _whole(self, texts: Sequence[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def _word(self, word: str) -> bytes:
+    def _word(self, letters: str, space: bool) -> bytes:
         """Ids of letters, perhaps after a space: one piece for the pre-tokenizer too, so the model can have it at once."""
-        shown = word.encode().decode("latin-1").translate(self.bytes)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+        shown = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.bytes)
+        return array("I", [t.id for t in self.model.tokenize(self.space + shown if space else shown)]).tobytes()
 
     def _learn(self, piece: str) -> bytes:
-        if piece[0] == "\n":
+        if _is_word(piece):
+            return self._word(piece, True)
+        if piece[:1] == "\n":
             rest = piece[1:]
-            if rest.isalpha() and max(rest) <= _LAST_LETTER:
-                return self.known["\0\n"] + self._word(rest)
+            if _is_word(rest):
+                return self.known["\0\n"] + self._word(rest, False)
             return self._whole([piece])[0]
-        if piece[0] == "\0":
+        if piece[:1] == "\0":
             return self._whole([piece[1:]])[0]
-        if piece.isalpha() and max(piece) <= _LAST_LETTER:
-            return self._word(" " + piece)
         # Punctuation marks after a letter never share a token with it.
         core = piece.rstrip(_PUNCTUATION)
         if core and core != piece and core[-1].isalpha():
