@@ -9,6 +9,7 @@ from array import array
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -551,3 +552,20 @@ def test_words_of_ascii_letters_need_no_translation():
     assert PieceEncoder(tokenizer_path()).encode(texts) == want
     encoder.bytes = {b: c for b, c in encoder.bytes.items() if not (b < 128 and chr(b).isalpha())} | {ord("w"): "?"}
     assert encoder.encode(texts[::2]) == want[::2]
+
+
+def test_a_batch_asks_once_for_each_different_piece():
+    encoder, asked = PieceEncoder(tokenizer_path()), []
+
+    class Asked(type(encoder.known)):
+        def __getitem__(self, piece):
+            asked.append(piece)
+            return super().__getitem__(piece)
+
+    encoder.known = Asked(encoder._learn)
+    rng, signs = random.Random(5), "ab eéÉ×÷ßǅɏɐ .,;:!?#$%&*|'\n19-_\"(“é😀ñ字"
+    texts = ["so so, so.\nso so; so", None, "", "so", "a  b", "x<|endoftext|>y", "\xe9t\xe9, 'tis.\n\xf7. \xd7,\n", "don't, 's. we'll,"]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    whole = encoder.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+    assert encoder.encode(pa.array(["-", *texts])[1:]) == [array("I", x.ids).tobytes() for x in whole]
+    assert len(asked) == len(set(asked)) > 1000 and {"so", " so", "\n", ","} <= set(asked)

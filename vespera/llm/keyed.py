@@ -162,7 +162,7 @@ def write_keyed(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sha
             )
 
         for batch in smaller_batches(batches):
-            for doc, x in zip(batch["doc_id"].to_pylist(), enc.encode(batch["text"].to_pylist()), strict=True):
+            for doc, x in zip(batch["doc_id"].to_pylist(), enc.encode(batch["text"]), strict=True):
                 copy = copy + 1 if last == (doc,) else 0
                 last = (doc,)
                 ids.append(doc)

@@ -99,7 +99,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         part = TaskContext.get().partitionId()
         seen: dict[str | None, int] = {}
         for batch in smaller_batches(batches):
-            ids = [x + end for x in enc.encode(batch["text"].to_pylist())]
+            ids = [x + end for x in enc.encode(batch["text"])]
             starts = []
             for queue, x in zip(batch["source"].to_pylist(), ids, strict=True):
                 starts.append(seen.get(queue, 0))
