@@ -569,3 +569,12 @@ def test_a_batch_asks_once_for_each_different_piece():
     whole = encoder.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
     assert encoder.encode(pa.array(["-", *texts])[1:]) == [array("I", x.ids).tobytes() for x in whole]
     assert len(asked) == len(set(asked)) > 1000 and {"so", " so", "\n", ","} <= set(asked)
+
+
+def test_encoding_holds_a_few_times_the_bytes_it_cuts(monkeypatch):
+    """What a worker's encoder keeps and needs at once is bounded; the vocabulary is not written out a second time."""
+    from vespera.llm import tokens
+
+    monkeypatch.setattr(tokens.json, "loads", lambda raw, f=tokens.json.loads: f(raw) if len(raw) < 10_000 else pytest.fail("whole"))
+    assert PieceEncoder(tokenizer_path()).plain
+    assert 2 * tokens.PIECES * 250 <= 75_000_000 and 4 * tokens.CUT_BYTES <= 8 << 20

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, smaller_batches
-from .tokens import encoder
+from .tokens import CUT_BYTES, encoder
 
 #: A shard is closed by the document that brings it to this many ids; a longer document has a shard of its own.
 SHARD_IDS = 1_000_000
@@ -161,7 +161,7 @@ def write_keyed(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sha
                 [pa.array([v], f.type) for v, f in zip(row, _SCHEMA, strict=True)], schema=_SCHEMA
             )
 
-        for batch in smaller_batches(batches):
+        for batch in smaller_batches(batches, CUT_BYTES):
             for doc, x in zip(batch["doc_id"].to_pylist(), enc.encode(batch["text"]), strict=True):
                 copy = copy + 1 if last == (doc,) else 0
                 last = (doc,)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, scratch_path, smaller_batches
-from .tokens import encoder
+from .tokens import CUT_BYTES, encoder
 
 #: Sources with a queue of their own beside those that the caller's target names; the smaller ones share the last queue,
 #: in the order of their documents. A window could not hold a share of more of them anyway.
@@ -98,7 +98,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         small = enc.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 and end_id < 65536
         part = TaskContext.get().partitionId()
         seen: dict[str | None, int] = {}
-        for batch in smaller_batches(batches):
+        for batch in smaller_batches(batches, CUT_BYTES):
             ids = [x + end for x in enc.encode(batch["text"])]
             starts = []
             for queue, x in zip(batch["source"].to_pylist(), ids, strict=True):

@@ -8,6 +8,7 @@ strings, and the ids are put together again as one array. Any other text, and on
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 from collections.abc import Callable, Sequence
@@ -19,9 +20,11 @@ import pyarrow.compute as pc
 from .common import kept_by_worker
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Pieces in each of the two generations that a worker remembers, under 250 bytes each: 100 MB at most. A full younger
+#: Pieces in each of the two generations that a worker remembers, under 250 bytes each: 75 MB at most. A full younger
 #: generation becomes the older one; pieces met again come back from it, those not met since are encoded anew.
-PIECES = 200_000
+PIECES = 150_000
+#: Bytes of text that are cut at once; the arrays over them take several times as much.
+CUT_BYTES = 2 << 20
 _MARKS = np.isin(np.arange(256), list(b".,;:!?#$%&*|"))
 #: What a text that may be cut does not have: a space or line feed at an end or beside another, other white space, a zero.
 _UNCUT = "^[ \n]|[ \n]$|[ \n]{2}|[\\x00\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -78,16 +81,15 @@ class PieceEncoder:
         self.model = self.tokenizer.model
 
     def _is_byte_level(self) -> bool:
-        import json
-
-        spec = json.loads(self.tokenizer.to_str())
-        pre = spec["pre_tokenizer"] or {}
+        # Only this part is written out: the whole specification holds every merge again.
+        pre = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        added = self.tokenizer.get_added_tokens_decoder().values()
         if not (
-            spec["normalizer"] is None
+            self.tokenizer.normalizer is None
             and pre.get("type") == "ByteLevel"
             and not pre["add_prefix_space"]
             and pre["use_regex"]
-            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+            and not any(t.lstrip or t.rstrip or t.single_word for t in added)
         ):
             return False
         # The character that the pre-tokenizer writes for each byte, as the library itself shows it.
