@@ -578,3 +578,25 @@ def test_encoding_holds_a_few_times_the_bytes_it_cuts(monkeypatch):
     monkeypatch.setattr(tokens.json, "loads", lambda raw, f=tokens.json.loads: f(raw) if len(raw) < 10_000 else pytest.fail("whole"))
     assert PieceEncoder(tokenizer_path()).plain
     assert 2 * tokens.PIECES * 250 <= 75_000_000 and 4 * tokens.CUT_BYTES <= 8 << 20
+
+
+def test_search_of_a_cell_takes_projected_distances_as_a_product_of_blocks(monkeypatch):
+    """Queries of a block share one product; a test that never holds leaves nothing out, a bound that holds nearly all."""
+    rng = np.random.default_rng(8)
+    x, axes = rng.standard_normal((500, 8)), rng.standard_normal((8, ann.DIMS))
+    x[400:] = x[300:400]
+    data = pd.DataFrame({"ids": [[i] for i in range(len(x))], "v": list(x), "p": list(x @ axes)})
+    wanted = pd.DataFrame({"q": range(150), "v": list(x[:150]), "p": list(x[:150] @ axes), "bound": [None] * 149 + [0.0]})
+    top = float((x * x).sum(axis=1).max())
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    found = ann._search(data, wanted, 20, 1e9, top)
+    for q, mine in found.groupby("q"):
+        score = x @ x[q]
+        want = np.lexsort((np.arange(len(x)), -score))[:21]
+        if q < 149:
+            assert mine["vec_id"].tolist() == want.tolist() and mine["seen"].sum() == len(x)
+            assert np.allclose(mine["score"], score[want], rtol=1e-12)
+    assert found.loc[found["q"] == 149, "seen"].sum() < 5
+    many = ann._search(data, wanted[:2], 100, 1e9, top)  # more neighbours than the first look takes
+    assert many[many["q"] == 1]["vec_id"].tolist() == np.lexsort((np.arange(len(x)), -(x @ x[1])))[:101].tolist()
+    assert many["seen"].sum() == 2 * len(x)
