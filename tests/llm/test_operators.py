@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 from array import array
 
@@ -411,6 +412,29 @@ def test_every_bit_of_a_code_is_mixed():
     assert abs(odds[0] - math.log(0.25)) < 0.01 and abs(odds[1] - math.log(12.3 / 3.3)) < 1e-5
 
 
+def test_a_long_text_is_worked_in_blocks(monkeypatch):
+    frequent = [b"w%d" % i for i in range(300)]
+    codes = mixing.Codes(frequent, np.arange(600, 300, -1), 1, 100, 14, np.zeros(300, "i8")).prepare()
+    sizes, expand = [], mixing.Codes._expand
+    monkeypatch.setattr(mixing.Codes, "_expand", lambda *a: (lambda b: sizes.append(len(b.bit)) or b)(expand(*a)))
+    mixer, tables, gates = mixing.Mixer(codes.odds), np.zeros((2, 1 << 14, 2), "i4"), np.zeros(mixing._GATES)
+    text = [b"w%d" % (i * i % 307) for i in range(50_000)] + [b"x" * 40_000]
+    mixing.learn_chunk(codes, mixer, tables, gates, [text])
+    assert gates.sum() == sum(sizes) == tables[0].sum() == tables[1].sum()
+    assert sum(sizes) > 400_000 and max(sizes) < 60_000
+
+
+def test_words_are_counted_by_kind_of_text(spark):
+    texts = ["b a\x0bB\x1f a", "a b c", None, " \t", "É é\r\nz z", "a b c c"]
+    got = {(r.word and bytes(r.word), r.top): r.n for r in mixing.word_counts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    want = collections.Counter()
+    for t in texts:
+        own = collections.Counter(re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()))
+        top = min(own, key=lambda w: (-own[w], w), default=b"")
+        want.update({(w, zlib.crc32(top) & 0xFFFFFF): n for w, n in own.items()})
+    assert got == {**want, (None, 0): len(texts)}
+
+
 def test_mixing_learns_context():
     frequent, sizes = [b"a", b"b", b"c", b"d"], np.array([500, 500, 500, 500])
     codes = mixing.Codes(frequent, sizes, 1, 100, 14, np.zeros(4, "i8")).prepare()
