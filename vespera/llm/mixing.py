@@ -134,6 +134,8 @@ class Codes:
         self.letter_nodes = self.letter_nodes + np.int32(len(odds))
         self.odds = np.concatenate([odds, more]).astype("f4")
         places = np.concatenate([places, further + (len(odds) << LEVELS)])
+        if len(places) > 1 << 23:
+            raise ValueError("more nodes than a packed entry can name")
         self.entries = self._packed(self.offsets, self.nodes, self.bits, places, 0)
         self.letter_entries = self._packed(self.letter_offsets, self.letter_nodes, self.letter_bits, places, 1)
         self.spans = _spans(self.offsets)
@@ -170,9 +172,10 @@ class Codes:
         symbols[named] = pc.index_in(words, value_set=self.index).fill_null(-1).to_numpy() + 2
         escaped = symbols == 1
         before = np.concatenate([np.zeros(1, "i4"), symbols[:-1]])
-        mark = np.maximum.accumulate(np.where((symbols >= 2) & (symbols < 2 + COMMON), np.arange(len(symbols), dtype="i4"), -1))
-        mark = np.concatenate([[-1], mark[:-1]])
-        common = np.where(mark >= np.repeat(ends - sizes + 1, sizes), symbols[mark], 0)
+        # The latest common word or end of a text; none yet is the last place, an end.
+        marks = (symbols < 2 + COMMON) & ~escaped
+        mark = np.maximum.accumulate(np.where(marks, np.arange(len(symbols), dtype="i4"), np.int32(-1)))
+        common = np.concatenate([np.zeros(1, "i4"), symbols[mark[:-1]]])
         return Tokens(sizes, symbols, before, common, np.flatnonzero(escaped), words.filter(pa.array(escaped[named])))
 
     def listed(self, docs: list[list[bytes]]) -> Tokens:
@@ -286,7 +289,8 @@ class Mixer:
             part *= x
             total += part
         np.clip(total, -16, 16, out=total)
-        cell = b.rough * np.int32(_ROUGH) + np.rint((total + 16) * ((_ROUGH - 1) / 32)).astype("i4")
+        cell = np.rint(total * np.float32((_ROUGH - 1) / 32)).astype("i4")
+        cell += b.rough * np.int32(_ROUGH) + np.int32((_ROUGH - 1) // 2)
         p = np.exp(np.negative(total, out=total), out=total)
         p += 1
         return gate, inputs, np.reciprocal(p, out=p), cell
@@ -297,11 +301,16 @@ class Mixer:
         # A cell that has seen little keeps the mixed value.
         trust = 0.5 * (n0 + n1) / (n0 + n1 + 200)
         own, shift = (1 - trust).astype("f4"), (trust * (n1 + 0.5) / (n0 + n1 + 1)).astype("f4")
-        return np.clip(own.take(cell) * p + shift.take(cell), 1e-6, 1 - 1e-6)
+        final = own.take(cell)
+        final *= p
+        final += shift.take(cell)
+        return np.clip(final, 1e-6, 1 - 1e-6, out=final)
 
     def cost(self, b: Bits, p: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """Bits that coding takes, for each token or letter."""
-        right = np.abs(self.refine(p, cell) + b.bit - np.float32(1))
+        right = self.refine(p, cell)
+        right -= b.bit ^ 1
+        np.abs(right, out=right)
         return -np.add.reduceat(np.log2(right, out=right), b.starts).astype("f8")
 
     def learn(self, bit: np.ndarray, gate, inputs, p, cell) -> np.ndarray:  # noqa: ANN001
@@ -311,7 +320,9 @@ class Mixer:
         order = np.argsort(gate.astype("u1"), kind="stable")
         seen = np.flatnonzero(n)
         starts = (np.cumsum(n) - n)[seen]
-        error, spread = (bit - p).take(order), (p * (1 - p)).take(order)
+        p = p.take(order)
+        error = bit.take(order) - p
+        spread = p * (1 - p)
         for j, x in enumerate(inputs):
             x = x.take(order)
             slope = np.add.reduceat(error * x, starts)
@@ -407,7 +418,9 @@ def learn_chunk(
             cost += float(mixer.cost(b, p, cell).sum())
         gates += mixer.learn(b.bit, gate, inputs, p, cell)
         for t, x in zip(tables, (b.near, b.far)):
-            np.add.at(t.reshape(-1), x * 2 + b.bit, np.int32(1))  # equal types: the fast way
+            x += x
+            x += b.bit
+            np.add.at(t.reshape(-1), x, np.int32(1))  # equal types: the fast way
     return cost
 
 
@@ -554,15 +567,15 @@ def score_texts(docs: DataFrame, words: int = WORDS) -> DataFrame:
             owner = np.repeat(np.arange(texts), tokens.sizes)[tokens.escaped]
             key, n = np.unique(owner * max(1, len(distinct)) + rare, return_counts=True)
             owner, rare = np.divmod(key, max(1, len(distinct)))
-            length = np.zeros(len(symbols), "i8")
-            length[np.delete(np.arange(len(symbols)), np.cumsum(tokens.sizes) - 1)] = pc.binary_length(words).to_numpy() + 1
+            length = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy() + 1, dtype="i8")])
+            length = np.diff(length[np.concatenate([[0], np.cumsum(sizes)])])
             inner = pa.StructArray.from_arrays([distinct.take(pa.array(rare)), pa.array(n, pa.int64())], names=["word", "n"])
             columns = [
                 pa.array(tokens.sizes, pa.int64()),
                 pa.array(tokens.by_text((symbols > 1).astype("i8")) + (c.ends > 0), pa.int64()),
                 pa.array(tokens.by_text(base.take(symbols)), pa.float64()),
                 pa.array(tokens.by_text(bits), pa.float64()),
-                pa.array(tokens.by_text(length), pa.int64()),
+                pa.array(length, pa.int64()),
                 pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(texts + 1)).astype("i4")), inner),
             ]
             yield pa.RecordBatch.from_arrays(
