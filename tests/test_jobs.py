@@ -1,5 +1,6 @@
 import contextlib
 import datetime as dt
+import importlib
 import io
 import json
 import pathlib
@@ -149,6 +150,25 @@ def test_streams(spark, tmp_path):
     assert [r.reason for r in spark.read.parquet(f"{out}/rejected").collect()] == ["empty"]
 
 
+def test_a_streams_search_merges_nothing(spark, tmp_path, monkeypatch):
+    knn = importlib.import_module("vespera.operators.knn")
+    path, merged, merge = f"{tmp_path}/index", [], knn.top_k
+
+    def watched(pairs, *a):
+        merged.append(merge(pairs, *a) is not pairs)
+        return merge(pairs, *a)
+
+    monkeypatch.setattr(knn, "top_k", watched)
+    plans.rebuild_index(plans.clean_events(raw(spark)), path)
+    questions(spark, QUESTIONS).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("qid long, question string, as_of date").parquet(f"{tmp_path}/in")
+    stream_answers(stream, path, f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
+    assert merged == [False]  # one group of chunks: the rows of its search are final
+    answers = {r.qid: titles(r) for r in spark.read.parquet(f"{tmp_path}/out/answers").collect()}
+    asked = questions(spark, QUESTIONS)
+    assert answers == {r.qid: titles(r) for r in plans.retrieve(asked, sources.read_index(spark, path)).collect()}
+
+
 def gone(event):
     return (*event[:5], None)
 
